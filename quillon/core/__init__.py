@@ -1,0 +1 @@
+"""core."""
