@@ -5,8 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillon.llm.common import remainder
+from quillon.llm.decontaminate import contained_items
+from quillon.llm.html_text import extract_main_text
 from quillon.llm.lm_scoring import score_texts
+from quillon.llm.ngram_join import near_duplicate_groups
+from quillon.llm.quality import fit_quality, score_quality
+from quillon.llm.topk import top_inner_products
+from quillon.llm.url_filters import judge_urls
+from quillon.llm.warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,9 +25,56 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@_query
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document's whole text under the backoff automaton."""
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES["op2_lm_scoring"] = op2_lm_scoring
+@_query
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, with the share of its shingles."""
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for each query row of the embeddings."""
+    return top_inner_products(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@_query
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document."""
+    return near_duplicate_groups(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What archives of all pages say of each page."""
+    return archive_round_trip(_table(spark, sf_dir, "pages"))

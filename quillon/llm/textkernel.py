@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 20  # bytes hashed at a time: bounds the scratch memory to about 40 MB
 
@@ -139,7 +140,57 @@ def distinct(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Each text's values sorted, once each."""
     out, count = [], np.zeros(len(begin), np.int64)
     for i in range(len(begin) - 1):
-        own = np.unique(values[begin[i] : begin[i + 1]])
+        own = np.sort(values[begin[i] : begin[i + 1]])
+        own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
         out.append(own)
         count[i + 1] = len(own)
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.cumsum(count)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+    """Parts of a batch of about ``most`` bytes of text each (one row at least)."""
+    texts = batch.column(column)
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
+    k = 0
+    while k < batch.num_rows:
+        j = max(k + 1, int(np.searchsorted(size, size[k] + most, side="right")) - 1)
+        yield batch.slice(k, j - k)
+        k = j
+
+
+_LOWER, _UPPER, _DIGIT, _HIGH = (np.isin(np.arange(256), list(r)) for r in (range(97, 123), range(65, 91), range(48, 58), range(128, 256)))
+_PLAIN = _LOWER | _UPPER | _DIGIT | _HIGH
+
+
+def _shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """What kinds of bytes each word has: lower case, upper case, several upper case, digits, other letters; its length in steps; its last two bytes where they are punctuation."""
+    def count(kind):
+        total = np.concatenate([[0], np.cumsum(kind[raw], dtype=np.int32)])
+        return total[ends] - total[starts]
+
+    upper, code = count(_UPPER), np.zeros(len(starts), np.uint64)
+    for i, bit in enumerate((count(_LOWER) > 0, upper > 0, upper > 1, count(_DIGIT) > 0, count(_HIGH) > 0)):
+        code |= bit.astype(np.uint64) << np.uint64(i)
+    length = ends - starts
+    code |= np.digitize(length, [2, 4, 20, 40]).astype(np.uint64) << np.uint64(8)
+    last = raw[ends - 1]
+    before = raw[np.maximum(ends - 2, starts)]
+    code |= np.where(_PLAIN[last], 0, last).astype(np.uint64) << np.uint64(16)
+    code |= np.where(_PLAIN[before] | _PLAIN[last] | (length < 2), 0, before).astype(np.uint64) << np.uint64(24)
+    return code
+
+
+def words_and_shapes(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`words`, with a code of each word's shape."""
+    raw, at = buffers(texts)
+    hashes, shapes, counts, k = [], [], [np.zeros(1, np.int64)], 0
+    while k < len(at) - 1:
+        j = max(k + 1, int(np.searchsorted(at, at[k] + CHUNK, side="right")) - 1)
+        part = raw[at[k] : at[j]]
+        starts, ends, before = spans(part, at[k : j + 1] - at[k])
+        hashes.append(_hash(part, starts, ends))
+        shapes.append(_shapes(part, starts, ends))
+        counts.append(np.diff(before))
+        k = j
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
+    return join(hashes), join(shapes), np.cumsum(np.concatenate(counts))
