@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import remainder
 from quillon.llm.decontaminate import contained_items
 from quillon.llm.html_text import extract_main_text
+from quillon.llm.licenses import scan_licenses
 from quillon.llm.lm_scoring import score_texts
+from quillon.llm.mixing import MAX_TRAIN, mix
 from quillon.llm.ngram_join import near_duplicate_groups
 from quillon.llm.quality import fit_quality, score_quality
 from quillon.llm.topk import top_inner_products
@@ -30,6 +32,28 @@ def _query(f):
     return f
 
 
+TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
+
+
+def labelled_languages(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
+    """The labelled table of the mixing query: texts of at most ``most`` ids of ``labels``, with their language as domain."""
+    ids = labels.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most).select("doc_id")
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", F.col("lang").alias("domain"))
+
+
+def document_path() -> Column:
+    """Where a document stands in the tree that its query scans: source, language, thousand of its id."""
+    part = lambda c: F.coalesce(F.col(c), F.lit("none"))
+    return F.concat_ws("/", part("source"), part("lang"), F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+
+
+@_query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document: its own notice, or that of the nearest directory above it."""
+    files = _table(spark, sf_dir, "documents").select("doc_id", document_path().alias("path"), "text")
+    return scan_licenses(files).withColumnRenamed("id", "doc_id")
+
+
 @_query
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document's whole text under the backoff automaton."""
@@ -54,6 +78,14 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors, rate and copies of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    mixed = mix(docs, labelled_languages(docs, _table(spark, sf_dir, "labels")), TARGETS)
+    return mixed.select("doc_id", "n_tokens", *(F.coalesce(F.col("domains")[d], F.lit(0.0)).alias(f"p_{d}") for d in sorted(TARGETS)), "rate", "copies")
+
+
 @_query
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
