@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from quillon.plans.registry import COVERS, ORACLES, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+for _name in ("q_match",):
+    importlib.import_module(f"quillon.plans.{_name}")
+
+__all__ = ["COVERS", "ORACLES", "QUERIES"]
