@@ -20,11 +20,13 @@ shingles can be common.
 
 **Answers from similar sets (answer level).**  Each block has a pivot, the entry
 with the least hashed id.  Every set of the block is compared with the pivot
-exactly.  For two sets x, y of one block, the counts against the pivot a bound
-their intersection: |x & y| <= |x & a| + |y - a|, and both being in a's
-component makes the pair needless.  Only pairs that the pivot's answers leave
-open, of different components, are compared themselves.  No pair that could
-link is left out, and a group of m near copies takes about m comparisons.
+exactly, and its difference from the pivot is kept: what it lacks and what it
+adds.  Links to the pivot give components.  For two sets x, y of one block in
+different components, the counts against the pivot a bound their intersection,
+|x & y| <= |x & a| + |y - a|; where that leaves them open, the intersection
+follows exactly from the two differences, without the sets.  No pair that could
+link is left out, and a group of m near copies takes about m comparisons of
+texts.
 
 **Hot keys.**  Equal sets are one set from the start.  Lists of frequent
 shingles are never gathered: their pivots come from an aggregation with
@@ -260,15 +262,19 @@ def _list_pairs(table: pa.Table, sizes: Sizes) -> pa.Table:
     return _with_pivots(shingle, v, n, rest, sizes, _pivots(_block_key(shingle[own], sizes.block(n[own])), v[own], n[own]))
 
 
-def _intersections(docs: pa.Table, asked: pa.Table, size: int) -> pa.Table:
-    """Exact intersections of a block's documents with the pivots asked for."""
+COMPARED = pa.schema([(c, pa.int64()) for c in ("a", "shape", "y", "rest", "na", "ny", "common")] + [("missing", pa.binary()), ("extra", pa.binary())])
+
+
+def _differences(docs: pa.Table, asked: pa.Table, size: int) -> pa.Table:
+    """Exact differences of a block's documents from the pivots asked for: places of the pivot's shingles that are missing, and shingles that are extra."""
     out: list[tuple] = []
     if docs.num_rows and asked.num_rows:
         sets: dict[int, list[np.ndarray]] = {}
-        for part in tk.slices(docs.select(["doc_id", "text"]).combine_chunks().to_batches()[0], "text"):
-            values, at = _sets(part.column("text"), size)
-            for i, doc in enumerate(part.column("doc_id").to_pylist()):
-                sets.setdefault(doc, []).append(values[at[i] : at[i + 1]])
+        for batch in docs.select(["doc_id", "text"]).combine_chunks().to_batches():
+            for part in tk.slices(batch, "text"):
+                values, at = _sets(part.column("text"), size)
+                for i, doc in enumerate(part.column("doc_id").to_pylist()):
+                    sets.setdefault(doc, []).append(values[at[i] : at[i + 1]])
         for batch in asked.combine_chunks().to_batches():
             for part in tk.slices(batch, "pivot_text"):
                 values, at = _sets(part.column("pivot_text"), size)
@@ -276,13 +282,17 @@ def _intersections(docs: pa.Table, asked: pa.Table, size: int) -> pa.Table:
                     own = values[at[i] : at[i + 1]]
                     if not len(own):
                         continue
+                    shape = int(tk.mix(own).sum(dtype=np.uint64).view(np.int64))
                     for item in ys:
                         for other in sets.get(item["y"], ()):
                             where = np.searchsorted(own, other)
                             where[where == len(own)] = 0
-                            out.append((a, item["y"], item["rest"], len(own), len(other), int((own[where] == other).sum())))
-    cols = list(zip(*out, strict=True)) if out else [()] * 6
-    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "y", "rest", "na", "ny", "common"])
+                            same = own[where] == other
+                            missing = np.ones(len(own), bool)
+                            missing[where[same]] = False
+                            out.append((a, shape, item["y"], item["rest"], len(own), len(other), int(same.sum()), pack_ints(np.flatnonzero(missing)), other[~same].tobytes()))
+    cols = list(zip(*out, strict=True)) if out else [()] * len(COMPARED)
+    return pa.table([pa.array(c, t) for c, t in zip(cols, COMPARED.types, strict=True)], schema=COMPARED)
 
 
 BLOOM_BITS = 1 << 23
@@ -306,31 +316,60 @@ def _needed(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _compare(rows: DataFrame, pairs: DataFrame, size: int, blocks: int) -> DataFrame:
-    """(a, y, rest) to (a, y, rest, na, ny, common): a block of documents gets each pivot's text once."""
+    """(a, y, rest) to each y's exact difference from its pivot a: a block of documents gets each pivot's text once."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("y")).distinct()
     texts = materialise(_needed(rows, ids), "texts")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     asked = pairs.withColumn("block", place("y")).groupBy("block", "a").agg(F.collect_list(F.struct("y", "rest")).alias("ys"))
     asked = asked.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("pivot_text")), "a").select("block", "a", "ys", "pivot_text")
     left = texts.join(pairs.select(F.col("y").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("block", place("doc_id"))
-    return left.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda d, q: _intersections(d, q, size), "a bigint, y bigint, rest bigint, na bigint, ny bigint, common bigint")
+    return left.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda d, q: _differences(d, q, size), "a bigint, shape bigint, y bigint, rest bigint, na bigint, ny bigint, common bigint, missing binary, extra binary")
+
+
+class _Deltas:
+    """Differences of many sets from one pivot, laid end to end."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        self.all = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.sizes = np.diff(self.at)
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        """How many values each set shares with ``own`` (sorted)."""
+        if not len(own) or not len(self.all):
+            return np.zeros(len(self.sizes), np.int64)
+        where = np.searchsorted(own, self.all)
+        where[where == len(own)] = 0
+        total = np.concatenate([[0], np.cumsum(own[where] == self.all)])
+        return total[self.at[1:]] - total[self.at[:-1]]
+
 
+def _open_links(table: pa.Table, sizes: Sizes) -> pa.Table:
+    """Links between components that one pivot's group still has: of open sets with any other, derived from the differences.
 
-def _open_pairs(table: pa.Table, sizes: Sizes) -> pa.Table:
-    """Pairs of one pivot's group that its answers leave open."""
+    |x & y| = |a| - |a - x| - |a - y| + |(a - x) & (a - y)| + |(x - a) & (y - a)|.
+    """
     is_x = as_array(table["is_x"]).to_numpy(zero_copy_only=False)
-    col = {c: as_array(table[c]).to_numpy() for c in ("y", "c", "ny", "common", "rest")}
-    left, right = [], []
-    side = np.flatnonzero(~is_x)
-    oy, ny, ry, cy, vy = (col[c][side] for c in ("common", "ny", "rest", "c", "y"))
+    col = {c: as_array(table[c]).to_numpy() for c in ("c", "na", "ny", "common", "rest")}
+    side, found = np.flatnonzero(~is_x), set()
+    if not len(side) or not is_x.any():
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    raw = [table[c].to_pylist() for c in ("missing", "extra")]
+    missing = [unpack_ints(raw[0][i]).astype(np.int64) for i in range(len(is_x))]
+    extra = [np.frombuffer(raw[1][i], np.uint64) for i in range(len(is_x))]
+    m, e = _Deltas([missing[i] for i in side]), _Deltas([extra[i] for i in side])
+    oy, ny, ry, cy = (col[c][side] for c in ("common", "ny", "rest", "c"))
     for i in np.flatnonzero(is_x):
-        o, n, r = int(col["common"][i]), int(col["ny"][i]), int(col["rest"][i])
+        o, n, r, c = (int(col[k][i]) for k in ("common", "ny", "rest", "c"))
         need = sizes.least_common(n, ny)
-        ok = (cy != col["c"][i]) & (np.minimum(n, ny) >= need) & (np.minimum(o + ny - oy, oy + n - o) >= need) & (np.minimum(r, ry) >= need)
-        right.append(vy[ok])
-        left.append(np.full(len(right[-1]), col["y"][i]))
-    x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
-    return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "y": pa.array(np.maximum(x, y), pa.int64())})
+        ok = (cy != c) & (np.minimum(n, ny) >= need) & (np.minimum(o + ny - oy, oy + n - o) >= need) & (np.minimum(r, ry) >= need)
+        if not ok.any():
+            continue
+        both = int(col["na"][i]) - len(missing[i]) - m.sizes + m.common(missing[i]) + e.common(extra[i])
+        for other in np.unique(cy[ok & (both >= need)]):
+            found.add((min(c, int(other)), max(c, int(other))))
+    a, b = zip(*sorted(found), strict=True) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_duplicate_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -365,22 +404,21 @@ def near_duplicate_groups(docs: DataFrame, *, size: int = 4, percent: int = 85,
     near = components(compared.where(linked).select("a", F.col("y").alias("b")))
 
     label = lambda df, v, c: df.join(near.select(F.col("v").alias(v), F.col("c").alias(c)), v, "left").withColumn(c, F.coalesce(c, v))
-    group = label(label(compared, "a", "ca"), "y", "c").withColumn("open", F.col("ca") != F.col("c"))
-    group = materialise(group, "group")
-    left_open = group.where("open").groupBy("a").agg(F.min(F.expr(f"(ny * {percent} + 99) div 100 - common")).alias("least"))
-    totals = group.groupBy("a").agg(F.count("*").alias("m")).join(left_open, "a").withColumn("parts", (F.col("m") / OPEN_GROUP).cast("int") + 1)
-    totals = materialise(totals, "totals")  # a plain table, so that the join can split a hot pivot's rows
-    member = group.join(totals, "a").where("open OR ny - common >= least").select("a", "y", "c", "ny", "common", "rest", "open", "parts")
-    dealt = member.select("a", "y", "c", "ny", "common", "rest", F.lit(False).alias("is_x"), F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"))
-    sent = member.where("open").select("a", "y", "c", "ny", "common", "rest", F.lit(True).alias("is_x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    more = dealt.unionByName(sent).groupBy("a", "part").applyInArrow(lambda t: _open_pairs(t.select(["a", "y", "c", "ny", "common", "rest", "is_x"]), sizes), "a bigint, y bigint").distinct()
-    more = materialise(more.join(compared.select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("y")), ["a", "y"], "left_anti").withColumn("rest", F.lit(0).cast("bigint")), "open")
-    if not more.isEmpty():
-        late = _compare(rows, more, size, blocks).where(linked)
-        late = label(label(late, "a", "ca"), "y", "cy").where("ca <> cy").select(F.col("ca").alias("a"), F.col("cy").alias("b"))
-        joined = components(late).select(F.col("v").alias("c"), F.col("c").alias("low"))
-        extra = joined.select(F.col("c").alias("v"), F.col("low").alias("c"))  # a component may be one unlinked id
-        near = near.join(joined, "c", "left").select("v", F.coalesce("low", "c").alias("c")).unionByName(extra.join(near.select("v"), "v", "left_anti"))
+    group = label(label(compared.select("a", "shape", "y", "ny", "common"), "a", "ca"), "y", "c").withColumn("open", F.col("ca") != F.col("c"))
+    left_open = F.min(F.when(F.col("open"), F.expr(f"(ny * {percent} + 99) div 100 - common"))).alias("least")
+    totals = group.groupBy("a", "shape").agg(left_open, (F.count("*") / OPEN_GROUP).cast("int").alias("parts")).where("least IS NOT NULL")
+    totals = materialise(totals.withColumn("parts", F.col("parts") + 1), "totals")  # a plain table, so that the join can split a hot pivot's rows
+    if not totals.isEmpty():
+        member = label(label(compared.join(totals, ["a", "shape"]), "a", "ca"), "y", "c").withColumn("is_x", F.col("ca") != F.col("c")).where("is_x OR ny - common >= least")
+        salt = F.when(F.col("is_x"), F.sequence(F.lit(0), F.col("parts"))).otherwise(F.array(F.pmod(F.xxhash64("y"), F.col("parts")).cast("int")))
+        dealt = member.withColumn("part", F.explode(salt))  # part = parts stands for an open set's own place among the others
+        own = (F.col("part") == F.col("parts")).alias("own")
+        dealt = dealt.select("a", "shape", F.when(own, F.pmod(F.xxhash64("y"), F.col("parts")).cast("int")).otherwise(F.col("part")).alias("part"), "c", "na", "ny", "common", "rest", "missing", "extra", (F.col("is_x") & ~own).alias("is_x"))
+        late = materialise(dealt.groupBy("a", "shape", "part").applyInArrow(lambda t: _open_links(t, sizes), "a bigint, b bigint").distinct(), "late")
+        if not late.isEmpty():
+            joined = components(late).select(F.col("v").alias("c"), F.col("c").alias("low"))
+            extra = joined.select(F.col("c").alias("v"), F.col("low").alias("c"))  # a component may be one unlinked id
+            near = near.join(joined, "c", "left").select("v", F.coalesce("low", "c").alias("c")).unionByName(extra.join(near.select("v"), "v", "left_anti"))
 
     reached = least.select("n", "sig", "v").join(near, "v", "left").select("n", "sig", F.coalesce("c", "v").alias("c"))
     return sets.select("doc_id", "n", "sig").join(reached, ["n", "sig"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id"))).alias("component_id"))
