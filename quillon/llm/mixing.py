@@ -11,7 +11,9 @@
    e = H^-1 (sum(r_d n_d p_d) - T), H = sum(n_d p_d p_d^T): from r = 1, each round
    sets r_d := max(0, r_d - p_d . e).  In this metric the objective has curvature
    one, so that the full step is safe, and one step is exact where no rate is
-   cut off at 0.  A round is one aggregation of k numbers over (n_d, p_d).
+   cut off at 0.  Where rates are, H over the documents whose rate isn't 0 gives
+   longer steps, taken while they lower the misfit.  A round is one or two
+   aggregations of k + k * k numbers over (n_d, p_d).
 
 A document's rate depends on its posterior and on the rounds' vectors e alone,
 so that rates are no table: the final column folds the vectors over p_d.  Only
@@ -101,21 +103,32 @@ def fit_rates(members: DataFrame, targets: np.ndarray, *, rounds: int = 60, tole
     """The rounds' vectors, and the totals that they reach, from rows (n, p)."""
     k = len(targets)
     at = lambda i: F.element_at("p", i + 1)
-    h = members.agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * at(i) * at(j)).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    total = float(h["n"] or 0)
-    if not total:
-        return [], np.zeros(k)
-    hessian = np.array([[h[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float) / total
-    inverse = np.linalg.pinv(hessian + 1e-12 * np.eye(k))
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def state(steps):
+        """Totals, and H over all documents and over those whose rate isn't 0, as shares of all words."""
+        r = rate(F.col("p"), steps)
+        live = F.when(r > 0, F.col("n")).otherwise(0)
+        x = members.agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * r * at(i)).alias(f"t{i}") for i in range(k)), *(F.sum(w * at(i) * at(j)).alias(f"{name}{i}_{j}") for name, w in (("h", F.col("n")), ("a", live)) for i, j in upper)).first()
+        total = float(x["n"] or 0)
+        matrix = lambda name: np.array([[x[f"{name}{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float) / total
+        return (total, np.array([x[f"t{i}"] for i in range(k)], float) / total, matrix("h"), matrix("a")) if total else (0.0, np.zeros(k), np.eye(k), np.eye(k))
+
+    inverse = lambda m: np.linalg.pinv(m + 1e-12 * np.eye(k))
     steps: list[list[float]] = []
+    total, reached, whole, live = state(steps)
     for _ in range(rounds):
-        r = rate(F.col("p"), steps)
-        got = members.agg(*(F.sum(F.col("n") * r * at(i)).alias(f"t{i}") for i in range(k))).first()
-        reached = np.array([got[f"t{i}"] for i in range(k)], float) / total
         miss = reached - targets
-        if np.abs(miss).max() < tolerance:
+        if not total or np.abs(miss).max() < tolerance:
             break
-        steps.append([round(float(x), 12) for x in inverse @ miss])
+        misfit = lambda e: float(e @ inverse(whole) @ e)
+        for metric in (live, whole):
+            step = [round(float(x), 12) for x in inverse(metric) @ miss]
+            _, after, _, living = state([*steps, step])
+            if misfit(after - targets) < misfit(miss):
+                break
+        steps.append(step)
+        reached, live = after, living
     return steps, reached * total
 
 

@@ -76,8 +76,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
     ends = flow.select("kind", F.col("a").alias("host")).union(flow.select("kind", "b")).distinct()
     start = materialise(ends.join(start, ["kind", "host"], "full").select("kind", "host", F.coalesce("seed", F.lit(0.0)).alias("seed")), "seeds")
     score = start.select("kind", "host", F.col("seed").alias("x"))
+    along = flow.select("kind", F.col("a").alias("host"), "b", "w")
     for k in range(1, rounds + 1):
-        given = score.join(flow, (score["kind"] == flow["kind"]) & (score["host"] == flow["a"])).groupBy(flow["kind"].alias("kind"), F.col("b").alias("host")).agg(F.sum(F.col("x") * F.col("w")).alias("got"))
+        given = score.join(along, ["kind", "host"]).groupBy("kind", "b").agg(F.sum(F.col("x") * F.col("w")).alias("got")).withColumnRenamed("b", "host")
         score = start.join(given, ["kind", "host"], "left").select("kind", "host", (F.col("seed") + damping * F.coalesce("got", F.lit(0.0))).alias("x"))
         if k % every == 0 or k == rounds:
             score = materialise(score, "scores")
