@@ -6,7 +6,7 @@ import importlib
 
 from quillon.plans.registry import COVERS, ORACLES, QUERIES
 
-for _name in ("q_match", "q_stats", "q_graph", "q_facets", "q_retrieve", "q_text", "q_audit", "q_layout"):
+for _name in ("q_match", "q_stats", "q_graph", "q_facets", "q_retrieve", "q_text", "q_audit", "q_layout", "q_more"):
     importlib.import_module(f"quillon.plans.{_name}")
 
 __all__ = ["COVERS", "ORACLES", "QUERIES"]
