@@ -110,3 +110,35 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What archives of all pages say of each page."""
     return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+_LOWER = "translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _words_sql(table: str, key: str) -> str:
+    return f"SELECT {key}, regexp_extract_all({_LOWER.format(c='text')}, '[^\\x20\\x09-\\x0D]+') AS w FROM {table}"
+
+
+def _shingles_sql(words: str, key: str, size: int) -> str:
+    run = " || ' ' || ".join(f"w[i + {k}]" for k in range(size))
+    return f"SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= {size} THEN list_transform(range(1, len(w) - {size - 2}), lambda i: {run}) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM {words}"
+
+
+ORACLES["op3_benchmark_decontamination"] = f"""WITH dw AS ({_words_sql('documents', 'doc_id')}), iw AS ({_words_sql('benchmark', 'item_id')}),
+d AS ({_shingles_sql('dw', 'doc_id', 5)}), q AS ({_shingles_sql('iw', 'item_id', 5)}), n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_common, n_item, count(*) / n_item AS containment FROM d JOIN q USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= 80 * n_item"""
+
+ORACLES["op4_exact_top_k"] = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+ORACLES["op9_ngram_jaccard_join"] = f"""WITH RECURSIVE w AS ({_words_sql('documents', 'doc_id')}), s AS ({_shingles_sql('w', 'doc_id', 4)}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)), e AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.doc_id), m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+_BASE32 = " || ".join(f"substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substring(h, {5 * g + 1}, 5) AS BIGINT) >> {s}) & 31 AS BIGINT) + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
+ORACLES["op10_warc"] = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT html, max(page_id) AS first FROM p GROUP BY html)
+SELECT page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f ON p.html = f.html"""
