@@ -22,8 +22,8 @@ CREW_SQL = """crew AS (
 VALUE_SQL = """attr_value AS (
   SELECT doc_id AS entity, 'quality' AS attr, CAST(max(quality) AS DOUBLE) AS value FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
   UNION ALL SELECT doc_id, 'toxic', CAST(max(toxic) AS DOUBLE) FROM labels WHERE toxic IS NOT NULL GROUP BY doc_id
-  UNION ALL SELECT doc_id, 'long', round(least(1.0, n_chars / 8000.0), 2) FROM documents WHERE lang IN ('en', 'fr')
-  UNION ALL SELECT doc_id, 'terse', round(1.0 - least(1.0, n_chars / 2000.0), 2) FROM documents WHERE lang <> 'de')"""
+  UNION ALL SELECT doc_id, 'long', floor(least(1.0, n_chars / 8000.0) * 100) / 100 FROM documents WHERE lang IN ('en', 'fr')
+  UNION ALL SELECT doc_id, 'terse', floor((1.0 - least(1.0, n_chars / 2000.0)) * 100) / 100 FROM documents WHERE lang <> 'de')"""
 
 
 def entity(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,8 +45,8 @@ def crew(spark: SparkSession, sf: str) -> DataFrame:
 def attr_value(spark: SparkSession, sf: str) -> DataFrame:
     labels, docs = table(spark, sf, "labels"), table(spark, sf, "documents")
     one = lambda c: labels.where(F.col(c).isNotNull()).groupBy(F.col("doc_id").alias("entity")).agg(F.lit(c).alias("attr"), F.max(c).cast("double").alias("value"))
-    long = docs.where(F.col("lang").isin("en", "fr")).select(F.col("doc_id").alias("entity"), F.lit("long").alias("attr"), F.round(F.least(F.lit(1.0), F.col("n_chars") / 8000.0), 2).alias("value"))
-    terse = docs.where(F.col("lang") != "de").select(F.col("doc_id").alias("entity"), F.lit("terse").alias("attr"), F.round(1.0 - F.least(F.lit(1.0), F.col("n_chars") / 2000.0), 2).alias("value"))
+    long = docs.where(F.col("lang").isin("en", "fr")).select(F.col("doc_id").alias("entity"), F.lit("long").alias("attr"), (F.floor(F.least(F.lit(1.0), F.col("n_chars") / 8000.0) * 100) / 100).alias("value"))
+    terse = docs.where(F.col("lang") != "de").select(F.col("doc_id").alias("entity"), F.lit("terse").alias("attr"), (F.floor((1.0 - F.least(F.lit(1.0), F.col("n_chars") / 2000.0)) * 100) / 100).alias("value"))
     return one("quality").unionByName(one("toxic")).unionByName(long).unionByName(terse)
 
 
