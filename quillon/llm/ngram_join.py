@@ -4,13 +4,16 @@ A document's set is its distinct ``size``-word shingles.  Two documents link
 when 100 * intersection >= percent * union.  The result says of each document
 how large its set is and the smallest id that it reaches over links.
 
-**Order and prefixes.**  Shingles are put in one order: those that no single
-task saw twice come first, by hash, then the ``frequent`` most repeated ones of
-the whole corpus, rarest first.  Any order is right; this one keeps passages
-that many documents share out of the index.  Of two sets that link, the first
-common shingle stands within a short prefix of both, so that only prefixes are
-indexed: a larger partner is found from its first n - ceil(t n) + 1 places, a
-smaller one needs only its first n - ceil(2t/(1+t) n) + 1.
+**Order and prefixes.**  Shingles are put in one order, by how many documents of
+the whole corpus have them (in powers of two), then by hash.  Counts come from
+one exchange: a block of documents sends its shingles, shortened to 48 bits,
+sorted and packed, to ranges of the hash space, and gets a byte for each back.
+Any order is right; this one keeps passages that many documents share out of
+the index.  Of two sets that link, the first common shingle stands within a
+short prefix of both, so that only prefixes are indexed, and of them only
+shingles that two documents have: a larger partner is found from its first
+n - ceil(t n) + 1 places, a smaller one needs only its first
+n - ceil(2t/(1+t) n) + 1.  Most documents have no index entry at all.
 
 **Skipping within lists (index level).**  An index list is split by set size
 into blocks whose sizes differ by less than the threshold allows; a set looks at
@@ -52,7 +55,8 @@ from quillon.llm import textkernel as tk
 from quillon.llm.common import as_array, blocks_for, bucket_edges, materialise, merge_totals, pack_ints, pack_keys, ship, sorted_distinct, unpack_ints, unpack_keys
 from quillon.llm.components import components
 
-FREQUENT = 1 << 18  # most repeated shingles whose order is known; bounds what is broadcast to 4 MB, not the result
+HOT_DF = 1024  # a shingle of so many documents is never gathered as a list
+HOT_LISTS = 1 << 18  # lists that may be hot: bounds the pivots that are broadcast to some 12 MB, not the result
 OPEN_GROUP = 2000  # rows of a pivot's group that one task compares at a time
 
 
@@ -86,79 +90,65 @@ def _sets(texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return tk.distinct(*tk.shingles(tokens, at, size))
 
 
-def _count_repeats(size: int, buckets: int):
-    """Shingles that several documents of one task have, by range of the hash space."""
+SHORT = np.uint64(16)  # bits cut off where shingles are only counted: a rare false repeat changes the order, not the result
 
-    def run(batches):
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-        for b in batches:
-            for part in tk.slices(b, "text"):
-                kept.append(sorted_distinct(_sets(part.column("text"), size)[0]))
-                held += len(kept[-1][0])
-            if held > 6_000_000:  # what is counted once so far may still come again: only memory asks for a cut
-                keys, n, _ = merge_totals([x[0] for x in kept], [x[1] for x in kept])
-                more = n > 1
-                kept, held = [(keys[more], n[more])], int(more.sum())
-        if kept:
-            keys, n, _ = merge_totals([x[0] for x in kept], [x[1] for x in kept])
-            keys, n = keys[n > 1], n[n > 1]
-            edges = bucket_edges(keys, buckets)
-            r = np.flatnonzero(np.diff(edges))
-            cut = [slice(edges[i], edges[i + 1]) for i in r]
-            yield pa.record_batch([pa.array(r.astype(np.int32)), pa.array([pack_keys(keys[c]) for c in cut], pa.binary()), pa.array([pack_ints(n[c]) for c in cut], pa.binary())], names=["r", "keys", "counts"])
 
-    return run
+def _block_counts(table: pa.Table, size: int, buckets: int) -> pa.Table:
+    """A block's shingles and how many of its documents have each, packed by range of the hash space."""
+    kept = []
+    for batch in table.select(["text"]).combine_chunks().to_batches():
+        for part in tk.slices(batch, "text"):
+            kept.append(_sets(part.column("text"), size)[0] >> SHORT)
+    keys, n = sorted_distinct(np.concatenate(kept) if kept else np.zeros(0, np.uint64))
+    edges = bucket_edges(keys << SHORT, buckets)
+    r = np.flatnonzero(np.diff(edges))
+    cut = [slice(edges[i], edges[i + 1]) for i in r]
+    block = table["block"][0].as_py()
+    return pa.table([pa.array(r, pa.int32()), pa.array([block] * len(r), pa.int32()), pa.array([pack_keys(keys[c]) for c in cut], pa.binary()), pa.array([pack_ints(n[c]) for c in cut], pa.binary())], names=["r", "block", "keys", "counts"])
 
 
-def _most_repeated(table: pa.Table, most: int) -> pa.Table:
-    keys, n, _ = merge_totals([unpack_keys(b) for b in table["keys"].to_pylist()], [unpack_ints(b) for b in table["counts"].to_pylist()])
-    best = np.lexsort((keys, -n))[:most]
-    return pa.table({"shingle": pa.array(keys[best].view(np.int64)), "n": pa.array(n[best], pa.int64())})
+def _classes(table: pa.Table) -> pa.Table:
+    """For each block, the class of each of its shingles: 0 where one document of the corpus has it, else 1 + floor(log2(documents))."""
+    _, total, places = merge_totals([unpack_keys(b) for b in table["keys"].to_pylist()], [unpack_ints(b) for b in table["counts"].to_pylist()])
+    kind = np.where(total > 1, 1 + np.floor(np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
+    return pa.table([table["block"], table["r"], pa.array([kind[p].tobytes() for p in places], pa.binary())], names=["block", "r", "kinds"])
 
 
-def _prefixes(size: int, sizes: Sizes, frequent):
-    """Each row's set size and signature; the prefix in order, where the task has not met that set before."""
+SET_SCHEMA = "doc_id bigint, n bigint, sig binary, shingles binary, places binary, kinds binary"
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary()), ("places", pa.binary()), ("kinds", pa.binary())])
 
-    def run(batches):
-        keys, rank = frequent.value
-        seen: set[tuple[int, bytes]] = set()
-        for b in batches:
-            for part in tk.slices(b, "text"):
-                ids = part.column("doc_id").to_pylist()
-                values, at = _sets(part.column("text"), size)
-                n, sigs, prefixes = np.diff(at), [], []
-                place = np.searchsorted(keys, values)
-                place[place == len(keys)] = 0
-                order = np.where(keys[place] == values, rank[place] + 1, 0) if len(keys) else np.zeros(len(values), np.int64)
-                with np.errstate(over="ignore"):
-                    one, two = np.cumsum(np.append(np.uint64(0), values * values)), np.cumsum(np.append(np.uint64(0), tk.mix(values)))
-                    one, two = one[at[1:]] - one[at[:-1]], two[at[1:]] - two[at[:-1]]
-                for i, doc in enumerate(ids):
-                    sig = one[i].tobytes() + two[i].tobytes()
-                    sigs.append(sig)
-                    if doc is None or not n[i] or (key := (int(n[i]), sig)) in seen:
-                        prefixes.append(None)
-                        continue
-                    if len(seen) < 200_000:
-                        seen.add(key)
-                    own = slice(at[i], at[i + 1])
-                    first = np.lexsort((values[own], order[own]))[: sizes.prefix(int(n[i]))]
-                    prefixes.append(values[own][first].tobytes())
-                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(prefixes, pa.binary())], names=["doc_id", "n", "sig", "prefix"])
-
-    return run
 
-
-def _entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix entries of a batch of sets: shingle, id, set size, shingles left from there on."""
-    raw = b.column("prefix").to_pylist()
-    shingle = np.frombuffer(b"".join(raw), np.uint64)
+def _prefixes(docs: pa.Table, kinds: pa.Table, size: int, sizes: Sizes) -> pa.Table:
+    """Each row's set size and signature, and its prefix: shingles that other documents have too, with place and class."""
+    out: list[tuple] = []
+    if docs.num_rows:
+        parts = [p for b in docs.select(["doc_id", "text"]).combine_chunks().to_batches() for p in tk.slices(b, "text")]
+        keys, _ = sorted_distinct(np.concatenate([_sets(p.column("text"), size)[0] >> SHORT for p in parts]))
+        answer = kinds["kinds"].take(pa.array(np.argsort(kinds["r"].to_numpy()))).to_pylist() if kinds.num_rows else []
+        kind_of = np.frombuffer(b"".join(answer), np.uint8)
+        for part in parts:
+            values, at = _sets(part.column("text"), size)
+            kind = kind_of[np.searchsorted(keys, values >> SHORT)]
+            with np.errstate(over="ignore"):
+                one, two = np.cumsum(np.append(np.uint64(0), values * values)), np.cumsum(np.append(np.uint64(0), tk.mix(values)))
+                one, two = one[at[1:]] - one[at[:-1]], two[at[1:]] - two[at[:-1]]
+            for i, doc in enumerate(part.column("doc_id").to_pylist()):
+                own, n = slice(at[i], at[i + 1]), int(at[i + 1] - at[i])
+                first = np.lexsort((values[own], kind[own]))[: sizes.prefix(n)] if n else np.zeros(0, np.int64)
+                shared = np.flatnonzero(kind[own][first] > 0)
+                first = first[shared]
+                out.append((doc, n, one[i].tobytes() + two[i].tobytes(), values[own][first].tobytes(), pack_ints(shared), kind[own][first].tobytes()))
+    cols = list(zip(*out, strict=True)) if out else [()] * len(SETS)
+    return pa.table([pa.array(c, t) for c, t in zip(cols, SETS.types, strict=True)], schema=SETS)
+
+
+def _entries(b: pa.RecordBatch, sizes: Sizes) -> tuple[np.ndarray, ...]:
+    """Prefix entries of a batch of sets: shingle, id, set size, shingles left from there on, class."""
+    raw = b.column("shingles").to_pylist()
     m = np.array([len(x) // 8 for x in raw], np.int64)
-    n = b.column("n").to_numpy()
-    place = np.arange(len(shingle)) - np.repeat(np.cumsum(m) - m, m)
-    n = np.repeat(n, m)
-    return shingle, np.repeat(b.column("v").to_numpy(), m), n, n - place
+    place = [unpack_ints(x) for x in b.column("places").to_pylist()]
+    n = np.repeat(b.column("n").to_numpy(), m)
+    return np.frombuffer(b"".join(raw), np.uint64), np.repeat(b.column("v").to_numpy(), m), n, n - (np.concatenate(place) if place else np.zeros(0)).astype(np.int64), np.frombuffer(b"".join(b.column("kinds").to_pylist()), np.uint8)
 
 
 def _block_key(shingle: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -192,15 +182,14 @@ def _with_pivots(shingle, v, n, rest, sizes: Sizes, table) -> pa.Table:
     return pa.table({"a": pa.array(a[first], pa.int64()), "y": pa.array(y[first], pa.int64()), "rest": pa.array(r[first], pa.int64())})
 
 
-def _hot_pivots(sizes: Sizes, frequent):
-    """Pivots of a task's own list blocks of frequent shingles."""
+def _hot_pivots(sizes: Sizes, hot: int):
+    """Pivots of a task's own list blocks of shingles of class ``hot`` and above."""
 
     def run(batches):
-        keys, _ = frequent.value
         kept = []
         for b in batches:
-            shingle, v, n, rest = _entries(b)
-            own = np.isin(shingle, keys, kind="sort") & sizes.indexed(rest, n)
+            shingle, v, n, rest, kind = _entries(b, sizes)
+            own = (kind >= hot) & sizes.indexed(rest, n)
             kept.append(_pivots(_block_key(shingle[own], sizes.block(n[own])), v[own], n[own]))
         if kept:
             key, v, n = _pivots(*(np.concatenate(x) for x in zip(*kept, strict=True)))
@@ -209,22 +198,20 @@ def _hot_pivots(sizes: Sizes, frequent):
     return run
 
 
-def _hot_pairs(sizes: Sizes, frequent, table):
+def _hot_pairs(sizes: Sizes, hot: int, table):
     def run(batches):
-        keys, _ = frequent.value
         for b in batches:
-            entries = _entries(b)
-            own = np.isin(entries[0], keys, kind="sort")
-            yield from _with_pivots(*(x[own] for x in entries), sizes, table.value).to_batches()
+            entries = _entries(b, sizes)
+            own = entries[-1] >= hot
+            yield from _with_pivots(*(x[own] for x in entries[:-1]), sizes, table.value).to_batches()
 
     return run
 
 
-def _postings(buckets: int, frequent):
+def _postings(sizes: Sizes, buckets: int, hot: int):
     """A task's index entries of the other shingles, packed by range of the hash space."""
 
     def run(batches):
-        keys, _ = frequent.value
         held, rows = [], 0
 
         def pack():
@@ -238,9 +225,9 @@ def _postings(buckets: int, frequent):
             return pa.record_batch([pa.array(r.astype(np.int32)), *cols], names=["r", "shingles", "v", "n", "place"])
 
         for b in batches:
-            entries = _entries(b)
-            own = ~np.isin(entries[0], keys, kind="sort")
-            held.append(tuple(x[own] for x in entries))
+            entries = _entries(b, sizes)
+            own = entries[-1] < hot
+            held.append(tuple(x[own] for x in entries[:-1]))
             rows += len(held[-1][0])
             if rows > 3_000_000:
                 yield pack()
@@ -372,7 +359,7 @@ def _open_links(table: pa.Table, sizes: Sizes) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_duplicate_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", hot_df: int = HOT_DF) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
     ship(spark)
@@ -380,24 +367,23 @@ def near_duplicate_groups(docs: DataFrame, *, size: int = 4, percent: int = 85,
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = blocks_for(rows)
 
-    repeats = rows.select("text").mapInArrow(_count_repeats(size, blocks), "r int, keys binary, counts binary").groupBy("r")
-    top = repeats.applyInArrow(lambda t: _most_repeated(t, frequent), "shingle bigint, n bigint").orderBy(F.desc("n"), "shingle").limit(frequent).toArrow()
-    keys = as_array(top["shingle"]).to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    known = spark.sparkContext.broadcast((keys[order], (len(keys) - 1 - np.arange(len(keys)))[order]))
-
-    sets = materialise(rows.mapInArrow(_prefixes(size, sizes, known), "doc_id bigint, n bigint, sig binary, prefix binary"), "sets")
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
+    counted = placed.groupBy("block").applyInArrow(lambda t: _block_counts(t, size, blocks), "r int, block int, keys binary, counts binary")
+    kinds = counted.groupBy("r").applyInArrow(_classes, "block int, r int, kinds binary")
+    sets = materialise(placed.groupBy("block").cogroup(kinds.groupBy("block")).applyInArrow(lambda d, k: _prefixes(d, k, size, sizes), SET_SCHEMA), "sets")
     whole = sets.where("doc_id IS NOT NULL AND n > 0")
-    least = whole.groupBy("n", "sig").agg(F.min("doc_id").alias("v"), F.max("prefix").alias("prefix"))
-    indexed = materialise(least.select("v", "n", "prefix"), "indexed")
+    least = whole.groupBy("n", "sig").agg(F.min("doc_id").alias("v"), F.max(F.struct("shingles", "places", "kinds")).alias("p"))
+    indexed = materialise(least.where("length(p.shingles) > 0").select("v", "n", "p.*"), "indexed")
+    entries = indexed.agg(F.coalesce(F.sum(F.length("shingles")), F.lit(0))).first()[0] // 8
+    hot = 1 + max(hot_df, entries // HOT_LISTS).bit_length()  # so many lists at most are longer
 
-    hot = indexed.mapInArrow(_hot_pivots(sizes, known), "key bigint, h double, v bigint, n bigint").groupBy("key").agg(F.min(F.struct("h", "v")).alias("p"), F.min("n").alias("n")).select("key", "p.v", "n").toArrow()
-    hot_keys = as_array(hot["key"]).to_numpy().view(np.uint64)
+    pivots = indexed.mapInArrow(_hot_pivots(sizes, hot), "key bigint, h double, v bigint, n bigint").groupBy("key").agg(F.min(F.struct("h", "v")).alias("p"), F.min("n").alias("n")).select("key", "p.v", "n").toArrow()
+    hot_keys = as_array(pivots["key"]).to_numpy().view(np.uint64)
     order = np.argsort(hot_keys)
-    table = spark.sparkContext.broadcast((hot_keys[order], as_array(hot["v"]).to_numpy()[order], as_array(hot["n"]).to_numpy()[order]))
+    table = spark.sparkContext.broadcast((hot_keys[order], as_array(pivots["v"]).to_numpy()[order], as_array(pivots["n"]).to_numpy()[order]))
     pair = "a bigint, y bigint, rest bigint"
-    lists = indexed.mapInArrow(_postings(blocks, known), "r int, shingles binary, v binary, n binary, place binary").groupBy("r").applyInArrow(lambda t: _list_pairs(t, sizes), pair)
-    pairs = materialise(indexed.mapInArrow(_hot_pairs(sizes, known, table), pair).unionByName(lists).groupBy("a", "y").agg(F.max("rest").alias("rest")), "pairs")
+    lists = indexed.mapInArrow(_postings(sizes, blocks, hot), "r int, shingles binary, v binary, n binary, place binary").groupBy("r").applyInArrow(lambda t: _list_pairs(t, sizes), pair)
+    pairs = materialise(indexed.mapInArrow(_hot_pairs(sizes, hot, table), pair).unionByName(lists).groupBy("a", "y").agg(F.max("rest").alias("rest")), "pairs")
 
     compared = materialise(_compare(rows, pairs, size, blocks), "compared")
     linked = F.expr(f"common * {100 + percent} >= {percent} * (na + ny)")

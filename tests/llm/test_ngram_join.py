@@ -56,10 +56,10 @@ def corpus(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize("seed,frequent", [(1, 1 << 18), (2, 5), (3, 0)])
-def test_like_all_pairs(spark, seed, frequent):
+@pytest.mark.parametrize("seed,hot_df", [(1, 1024), (2, 4), (3, 1)])
+def test_like_all_pairs(spark, seed, hot_df):
     rows = corpus(seed)
-    got = ours(spark, rows, frequent=max(frequent, 1))
+    got = ours(spark, rows, hot_df=hot_df)
     assert got == brute(rows)
     assert len({c for _, _, c in got}) < len(rows)
 
