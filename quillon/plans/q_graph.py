@@ -107,10 +107,8 @@ def _bipartite(spark, sf):
 
 @query("components", "G01 A56", "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, 1000000 + l_orderkey AS b FROM lineitem WHERE l_quantity >= 48 AND l_linenumber = 1), n AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), r(u, root) AS (SELECT DISTINCT u, u FROM n UNION SELECT n.v, r.root FROM r JOIN n ON n.u = r.u) SELECT root AS component, count(*) AS n FROM (SELECT u, min(root) AS root FROM r GROUP BY u) GROUP BY root")
 def components(spark, sf):
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    if spark.sparkContext.getCheckpointDir() is None:  # the warehouse is a folder that all executors share
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/quillon-checkpoints")
     e = table(spark, sf, "lineitem").where("l_quantity >= 48 AND l_linenumber = 1").select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") + 1000000).alias("b")).distinct()
     nodes = e.select(F.col("a").alias("entity")).union(e.select("b")).distinct()
     return g.connected_components(nodes, e).groupBy("component").agg(F.count("*").alias("n"))
