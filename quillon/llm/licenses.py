@@ -1,12 +1,17 @@
 """License scan: notices by sparse TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
-*Notices.*  Each line of a file, and each run of neighbouring lines that hold
-an anchor word, is a sparse TF-IDF vector over its words; its best cosine to a
-template variant at or over ``threshold`` is a notice.  idf comes from the
+*Notices.*  Each line of a file, each run of neighbouring lines that hold an
+anchor word, and each window of words about as long as a template (``AROUND``)
+anywhere in the file is a sparse TF-IDF vector over its words; its best cosine
+to a template variant at or over ``threshold`` is a notice.  Windows find
+notices within longer lines and over line breaks; a window must hold the
+template's words with digits, which tell versions apart.  idf comes from the
 templates; words that no template has weigh as words of one template, so that
 text around a notice lowers the cosine.  Anchors are chosen so that the rest of
 any template has a norm below the threshold: a line without any anchor can't
-reach it, so that skipping such lines loses nothing.
+reach it, so that skipping such lines loses nothing.  Likewise a template can
+only be reached if those of its words that the file has anywhere have a norm of
+the threshold at least; windows are scored exactly where prefix sums allow it.
 
 *Licence files.*  A file with a licence file's name, or of whose words a notice
 makes up at least ``share``, speaks for its directory.  Of several in one
@@ -35,20 +40,44 @@ from pyspark.sql import functions as F
 from quillon.llm import textkernel as tk
 from quillon.llm.common import materialise, ship
 
-# The customary short notices of well-known licences.
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_NEITHER = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+
+def _gnu(kind: str, short: str, version: str, dated: str) -> list[str]:
+    """Sentences, file headers and the title of one of the GNU licences."""
+    full, exact = f"{kind} Public License", version if "." in version else f"{version}.0"
+    return [f"This work is licensed under the GNU {full}, version {version}.", *(f"Licensed under the GNU {full} v{v}." for v in dict.fromkeys((version, exact))), *(f"Licensed under the {short}{v}." for v in (f"v{version}", f" v{version}", f"-{exact}")), _GNU.format(full, version), f"GNU {full} Version {version}, {dated}", f"SPDX-License-Identifier: {short}-{exact}-only", f"SPDX-License-Identifier: {short}-{exact}-or-later"]
+
+
+def _cc(short: str, name: str) -> list[str]:
+    return [f"Licensed under CC {short} 4.0.", f"This work is licensed under a Creative Commons {name} 4.0 International License.", f"Creative Commons {name} 4.0 International Public License", f"SPDX-License-Identifier: CC-{short}-4.0"]
+
+
+# The customary short notices, file headers and openings of well-known licences.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "AGPL-3.0": _gnu("Affero General", "AGPL", "3", "19 November 2007"),
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", "SPDX-License-Identifier: Apache-2.0"],
+    "BSD-2-Clause": [_BSD.format("1. ", "2. ") + "THIS SOFTWARE IS PROVIDED BY", _BSD.format("", "") + "THIS SOFTWARE IS PROVIDED BY", "Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", _BSD.format("1. ", "2. ") + "3. " + _NEITHER, _BSD.format("", "") + _NEITHER, "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "CC-BY-4.0": _cc("BY", "Attribution"),
+    "CC-BY-NC-4.0": _cc("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-NC-ND-4.0": _cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    "CC-BY-NC-SA-4.0": _cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-ND-4.0": _cc("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-SA-4.0": _cc("BY-SA", "Attribution-ShareAlike"),
+    "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0.", "Creative Commons Legal Code CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"],
+    "GPL-2.0": _gnu("General", "GPL", "2", "June 1991"),
+    "GPL-3.0": _gnu("General", "GPL", "3", "29 June 2007"),
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "LGPL-2.1": _gnu("Lesser General", "LGPL", "2.1", "February 1999"),
+    "LGPL-3.0": _gnu("Lesser General", "LGPL", "3", "29 June 2007"),
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions", "SPDX-License-Identifier: MIT"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
 }
+# Lengths of the windows as parts of the template's.
+AROUND = (0.8, 1.0, 1.25)
 PREFERRED = ("license", "licensed", "spdx", "copyright", "gnu", "apache", "cc0", "mozilla", "redistribution", "permitted", "hereby", "granted")
 NAMES = r"(?i)^(un)?licen[cs]e([._-].*)?$|^copying([._-].*)?$|^notice([._-].*)?$"
 TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -72,6 +101,13 @@ class Templates:
         self.idf = {w: math.log((1 + n) / (1 + d)) + 1 for w, d in df.items()}
         self.other = math.log((1 + n) / 2) + 1
         self.vectors = [(name, self._unit(words)) for name, words in variants]
+        self.at = {w: k for k, w in enumerate(df)}
+        self.weight = np.array([*(self.idf[w] for w in df), self.other])  # by word's number; the last is any other word
+        self.parts = np.zeros((len(variants), len(df) + 1))
+        for row, (_, v) in zip(self.parts, self.vectors, strict=True):
+            row[[self.at[w] for w in v]] = list(v.values())
+        self.lengths = [sorted({max(1, round(len(words) * x)) for x in AROUND}) for _, words in variants]
+        self.digits = [[self.at[w] for w in set(words) if any(c.isdigit() for c in w)] for _, words in variants]
         anchors: set[str] = set()
         for _, v in self.vectors:
             rest = 1.0 - sum(x * x for w, x in v.items() if w in anchors)
@@ -97,12 +133,38 @@ class Templates:
         v = self._unit(words)
         return max(((sum(x * v.get(w, 0.0) for w, x in t.items()), name) for name, t in self.vectors), key=lambda s: (round(s[0], 12), [-ord(c) for c in s[1]]))
 
+    def _windows(self, words: list[str], reach: np.ndarray):
+        """(cosine, licence, words) of every window that has the threshold for one of the templates ``reach``."""
+        ids = np.array([self.at.get(w, len(self.at)) for w in words])
+        weight = self.weight[ids]
+        size = np.concatenate([[0.0], np.cumsum(weight * weight)])  # at most the square of the norm, as repeated words add more
+        for k in reach:
+            part = np.concatenate([[0.0], np.cumsum(self.parts[k][ids] * weight)])
+            held = [np.concatenate([[0], np.cumsum(ids == d)]) for d in self.digits[k]]
+            name, template = self.vectors[k]
+            seen: dict[tuple[str, ...], float] = {}
+            for length in dict.fromkeys(min(x, len(words)) for x in self.lengths[k]):
+                maybe = part[length:] - part[:-length] >= (self.threshold - 1e-9) * np.sqrt(size[length:] - size[:-length])
+                for h in held:
+                    maybe &= h[length:] > h[:-length]
+                for i in np.flatnonzero(maybe):
+                    window = tuple(words[i : i + length])
+                    if window not in seen:
+                        v = self._unit(list(window))
+                        seen[window] = sum(x * v.get(w, 0.0) for w, x in template.items())
+                        if seen[window] >= self.threshold:
+                            yield seen[window], name, length
+
     def notice(self, text: str) -> tuple[str | None, float, float]:
         """(licence, cosine, share of the text's words) of the best notice, or (None, 0, 0)."""
+        every = tokens(text)
+        there = np.zeros(len(self.weight))
+        there[[self.at[w] for w in set(every) if w in self.at]] = 1.0
+        reach = np.flatnonzero((self.parts**2) @ there >= self.threshold**2 - 1e-9)
+        if not len(reach):
+            return None, 0.0, 0.0
         lines = re.split(r"[\n\r\x0b\x0c]+", text)
         hit = [i for i, line in enumerate(lines) if self.find.search(line)]
-        if not hit:
-            return None, 0.0, 0.0
         spans, k = {(i, i) for i in hit}, 0
         while k < len(hit):  # runs of neighbouring lines with anchors
             j = k
@@ -110,15 +172,12 @@ class Templates:
                 j += 1
             spans.add((hit[k], hit[j]))
             k = j + 1
-        found = (0.0, "", 0)
-        for a, b in sorted(spans):
-            words = tokens(" ".join(lines[a : b + 1]))
-            score, name = self.best(words)
-            if score >= self.threshold and (score > found[0] + 1e-12 or abs(score - found[0]) <= 1e-12 and name < found[1]):
-                found = (score, name, len(words))
-        if not found[1]:
+        found = [(*self.best(words), len(words)) for a, b in sorted(spans) if (words := tokens(" ".join(lines[a : b + 1])))]
+        found = [x for x in found if x[0] >= self.threshold] + list(self._windows(every, reach))
+        if not found:
             return None, 0.0, 0.0
-        return found[1], found[0], found[2] / max(1, len(tokens(text)))
+        score, name, size = min(found, key=lambda x: (-round(x[0], 12), x[1], -x[2]))
+        return name, score, size / len(every)
 
 
 def _scan(templates: dict, threshold: float):

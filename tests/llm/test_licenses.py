@@ -38,3 +38,45 @@ def test_anchors_lose_nothing():
             assert re.search(t.filter, text)
     assert t.notice("nothing of the kind")[0] is None
     assert tokens("Version 2.0.") == ["version", "2.0"]
+
+
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice shall be included."
+GPL = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version."
+WITHIN = [
+    ("This project is licensed under the MIT License.", "MIT"),
+    ("Copyright 2020 Jane Roe. Licensed under the MIT License.", "MIT"),
+    ("Licensed under the Apache License, Version 2.0. See the LICENSE file.", "Apache-2.0"),
+    ("many words that say nothing of it " * 9 + "Released under the MIT License. " + "and more of such words " * 9, "MIT"),
+    ("prose " * 40 + MIT, "MIT"),
+    ("int main\n" + GPL.format(2) + "\nint x", "GPL-2.0"),
+    (GPL.format(3), "GPL-3.0"),
+    (GPL.format(3).replace("GNU", "GNU Lesser"), "LGPL-3.0"),
+    ("GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation", "GPL-3.0"),
+    ("Some words before it, this text is licensed under CC BY-SA 4.0, and words after it", "CC-BY-SA-4.0"),
+    (GPL.format("2.1").replace("GNU", "GNU Lesser"), "LGPL-2.1"),
+    ("It is not like the GNU General Public License.", None),
+]
+
+
+def test_notices_within_lines_and_over_them():
+    t = Templates(TEMPLATES, 0.8)
+    for text, want in WITHIN:
+        assert t.notice(text)[0] == want, text
+
+
+def test_windows_lose_nothing():
+    """The windows found by prefix sums are all that have the threshold."""
+    t = Templates(TEMPLATES, 0.8)
+    for text, _ in WITHIN:
+        words = tokens(text)
+        got = {(round(s, 9), n, size) for s, n, size in t._windows(words, range(len(t.vectors)))}
+        want = set()
+        for k, (name, v) in enumerate(t.vectors):
+            digits = {w for w in v if any(c.isdigit() for c in w)}
+            for size in {min(x, len(words)) for x in t.lengths[k]}:
+                for i in range(len(words) - size + 1):
+                    window = words[i : i + size]
+                    score = sum(x * t._unit(window).get(w, 0.0) for w, x in v.items())
+                    if score >= 0.8 and digits <= set(window):
+                        want.add((round(score, 9), name, size))
+        assert got == want
