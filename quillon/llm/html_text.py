@@ -188,12 +188,12 @@ class Page:
             up = self.parent[up]
         kept = {best}
         if best and self.tag[best] not in ("body", "html"):
-            least = max(10.0, 0.2 * score[best])
+            least = 0.2 * score[best]
             for i in range(1, n):
                 if self.parent[i] != self.parent[best] or i == best or self.drop[i]:
                     continue
                 density = linked[i] / max(1, chars[i])
-                if score[i] >= least and density < 0.25 or self.tag[i] == "p" and chars[i] > 80 and density < 0.25 or self.tag[i] == "h1" and i < best:
+                if density < 0.25 and (score[i] > 0 and score[i] >= least or self.tag[i] == "p" or self.tag[i] in HEADINGS) or self.tag[i] == "h1" and i < best:
                     kept.add(i)
         inside = [False] * n
         for i in range(n):

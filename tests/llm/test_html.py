@@ -24,6 +24,19 @@ def test_cases(source, want):
     assert main_text(source) == want
 
 
+FEW = "Eight words, that is less than ten points."
+SIBLINGS = [
+    (f"<body><div><section><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section><section><p>{LONG}</p><p>{LONG}</p></section></div></body>", "\n\n".join([LONG] * 5)),
+    (f"<body><div><h1>T</h1><p>Short.</p><div><p>{LONG}</p><p>{LONG}</p></div><h2>Next</h2><p>{FEW}</p></div></body>", f"T\n\nShort.\n\n{LONG}\n\n{LONG}\n\nNext\n\n{FEW}"),
+    (f"<body><div><div><p>{LONG}</p><p>{LONG}</p></div><p><a href=x>Read on here</a></p><div><a href=y>{LONG}</a></div></div></body>", f"{LONG}\n\n{LONG}"),
+]
+
+
+@pytest.mark.parametrize("source,want", SIBLINGS)
+def test_siblings(source, want):
+    assert main_text(source) == want
+
+
 def test_odd_pages():
     assert main_text("<div>" * 20_000 + "deep" + "</div>" * 10) == "deep"
     assert main_text("<" * 5000) is not None
