@@ -8,7 +8,15 @@ The container with most points is kept, widened to the article or main element
 around it, with those siblings that have a fifth of its points, or that are
 plain paragraphs or headings.  Within it, menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are left out, by
-element, role, hidden state, or words of class and id.
+element, role, hidden state, or words of class and id (not if has, no or with
+stand before them, as in has-sidebar).
+
+Words of class and id alone don't drop an element that holds an article or main
+of the page (unless there is another one outside, and more text), that holds
+more than three quarters of the page's unlinked text (unless there is an article
+or main outside), or that is a section of an article, has a name that articles
+use too (``TOPICS``) and isn't mostly links; points and link density decide
+there.  Of these, reader comments only stay if they hold the page's article.
 
 A block's character references are decoded, its white space (no-break spaces
 too) becomes one space, and its ends are trimmed; blocks that still have text
@@ -42,25 +50,31 @@ BLOCK = frozenset("address article aside blockquote body center caption dd detai
 DROPPED = frozenset("nav header footer aside form menu dialog button select option object canvas audio video head".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 DROPPED_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice popup modal newsletter subscribe signup social share sharing related recommended comment comments commentlist disqus discussion replies respond pagination pager toolbar widget login copyright hidden".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+TOPICS = frozenset("discussion related navigation promotion copyright social sharing".split())
+NEGATIONS = frozenset("no not non has with without".split())
 ALWAYS_KEPT = frozenset("html body article main".split())
 ENDS = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "tbody": ("tr td th thead tbody", ("table",)), "tfoot": ("tr td th thead tbody", ("table",))}
 PARAGRAPH_LIKE = frozenset("p pre blockquote td li dd figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+def _unwanted(tag: str, attributes: str) -> tuple[bool, frozenset[str]]:
+    """Whether an element is dropped in any case, and the words of class and id that speak against it."""
     if tag in DROPPED:
-        return True
-    if not attributes or tag in ALWAYS_KEPT:
-        return False
+        return True, frozenset()
+    if not attributes:
+        return False, frozenset()
+    words: set[str] = set()
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(a or b or c)
         if name in ("class", "id"):
-            if any(w.lower() in DROPPED_WORDS for w in WORD.findall(value)):
-                return True
-        elif name == "role" and value.strip().lower() in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            for token in value.split():
+                parts = [w.lower() for w in WORD.findall(token)]
+                words.update(w for k, w in enumerate(parts) if w in DROPPED_WORDS and not (k and parts[k - 1] in NEGATIONS))
+        elif tag not in ALWAYS_KEPT and (name == "role" and value.strip().lower() in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+            return True, frozenset()
+    return False, frozenset(words)
 
 
 class Page:
@@ -68,17 +82,60 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.drop = ["#root"], [-1], [False]
-        self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
-        self._text: list[tuple[str, bool]] = []
+        self.words: dict[int, frozenset[str]] = {}  # of nodes that class or id speak against
+        self._read_blocks: list[tuple[int, list[tuple[str, bool, int]]]] = []  # node, pieces of text with their nodes
+        self._text: list[tuple[str, bool, int]] = []
         self._read(source)
+        if self.words:
+            self._judge()
+        self.blocks = [b for node, pieces in self._read_blocks if (b := self._block(node, [x for x in pieces if not self.drop[x[2]]]))[1]]  # node, text, characters in links
+
+    @staticmethod
+    def _block(node: int, pieces: list[tuple[str, bool, int]]) -> tuple[int, str, int]:
+        text = " ".join("".join(t for t, _, _ in pieces).split())
+        return node, text, sum(len("".join(t.split())) for t, link, _ in pieces if link)
 
     def _flush(self, node: int) -> None:
         if self._text:
-            text = " ".join("".join(t for t, _ in self._text).split())
-            if text:
-                self.blocks.append((node, text, sum(len("".join(t.split())) for t, link in self._text if link)))
+            self._read_blocks.append((node, self._text))
             self._text = []
 
+    def _judge(self) -> None:
+        """Which of the nodes that class or id speak against are dropped, with all they hold."""
+        n = len(self.tag)
+        unlinked, linked = [0] * n, [0] * n  # characters, without headings
+        for node, pieces in self._read_blocks:
+            if self.tag[node] not in HEADINGS:
+                for t, link, at in pieces:
+                    (linked if link else unlinked)[at] += len("".join(t.split()))
+        for node in range(n - 1, 0, -1):
+            unlinked[self.parent[node]] += unlinked[node]
+            linked[self.parent[node]] += linked[node]
+        # articles that class and id don't speak against, and those also outside of all that they speak against
+        spoken, above = [False] * n, [0] * n  # above: free articles that hold the node
+        holds, free = [False] * n, 0
+        for i in range(1, n):
+            up = self.parent[i]
+            spoken[i] = spoken[up] or i in self.words
+            above[i] = above[up]
+            if self.tag[i] in ("article", "main") and i not in self.words and unlinked[i] and not self.drop[i]:
+                holds[i] = True
+                if not spoken[i]:
+                    free += 1
+                    above[i] += 1
+        for i in range(n - 1, 0, -1):
+            holds[self.parent[i]] = holds[self.parent[i]] or holds[i]
+        whole = unlinked[0]
+        for i in range(1, n):
+            self.drop[i] = self.drop[i] or self.drop[self.parent[i]]
+            if self.drop[i] or i not in self.words or self.tag[i] in ALWAYS_KEPT:
+                continue
+            words, other = self.words[i], free > above[i]
+            keep = holds[i] and (not other or 2 * unlinked[i] > whole)
+            keep = keep or not words & COMMENTS and not other and 4 * unlinked[i] > 3 * whole
+            keep = keep or above[i] and words <= TOPICS and unlinked[i] and linked[i] < 0.25 * (linked[i] + unlinked[i])
+            self.drop[i] = not keep
+
     def _read(self, source: str) -> None:
         stack, links, at, n = [0], 0, 0, len(source)
         blocks = [0]  # places in the stack that hold blocks
@@ -97,14 +154,14 @@ class Page:
             m = TAG.search(source, at)
             text = source[at : m.start() if m else n]
             if text and not self.drop[stack[-1]]:
-                self._text.append((html.unescape(text), links > 0))
+                self._text.append((html.unescape(text), links > 0, stack[-1]))
             if not m:
                 break
             at = m.end()
             if m[1]:
                 name = m[1].lower()
                 if name == "br":
-                    self._text.append((" ", False))
+                    self._text.append((" ", False, 0))
                     continue
                 low = blocks[-1] if name not in BLOCK else 0
                 for k in range(len(stack) - 1, low - 1 if name in BLOCK else low, -1):
@@ -122,7 +179,7 @@ class Page:
                     at = end.end() if end else n
                 continue
             if name == "br":
-                self._text.append((" ", False))
+                self._text.append((" ", False, 0))
                 continue
             if name in BLOCK:
                 for k in range(len(stack) - 1, 0, -1):  # an open paragraph ends here
@@ -148,8 +205,11 @@ class Page:
                 continue
             self.tag.append(name)
             self.parent.append(stack[-1])
-            self.drop.append(self.drop[stack[-1]] or _unwanted(name, attributes))
+            dropped, words = _unwanted(name, attributes)
+            self.drop.append(self.drop[stack[-1]] or dropped)
             stack.append(len(self.tag) - 1)
+            if words:
+                self.words[stack[-1]] = words
             if name in BLOCK:
                 blocks.append(len(stack) - 1)
             links += name == "a"

@@ -37,6 +37,26 @@ def test_siblings(source, want):
     assert main_text(source) == want
 
 
+NAMED = [
+    (f"<div class='has-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div class='content no-sidebar'><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n\n{LONG}"),
+    (f"<div class='sidebar layout'><article><p>{LONG}</p></article><div class=sidebar><p>{LONG}</p></div></div>", LONG),
+    (f"<div id=login-page><div><p>{LONG}</p><p>{LONG}</p></div></div>", f"{LONG}\n\n{LONG}"),
+    (f"<article><p>{LONG}</p><section id='discussion'><h2>Discussion</h2><p>{LONG}</p></section></article>", f"{LONG}\n\nDiscussion\n\n{LONG}"),
+    (f"<article><p>{LONG}</p><div class=related><a href=x>{LONG}</a></div></article>", LONG),
+    (f"<article><p>{LONG}</p></article><div class=related><article><p>{LONG}</p></article></div>", LONG),
+    (f"<article><p>{LONG}</p></article><div id=comments><article class=comment><p>{LONG * 9}</p></article></div>", LONG),
+    (f"<div class=ad>{LONG}</div><article><p>one</p></article>", "one"),
+    (f"<p>{LONG}<span class=ad>buy</span> end</p>", f"{LONG} end"),
+    (f"<main class=hidden><div class=widget><article><p>{LONG}</p></article></div></main>", LONG),
+]
+
+
+@pytest.mark.parametrize("source,want", NAMED)
+def test_names_alone(source, want):
+    assert main_text(source) == want
+
+
 def test_odd_pages():
     assert main_text("<div>" * 20_000 + "deep" + "</div>" * 10) == "deep"
     assert main_text("<" * 5000) is not None
