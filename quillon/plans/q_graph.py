@@ -204,6 +204,6 @@ def compatible_groups(spark, sf):
 @query("connected_core", "G12")
 def connected_core(spark, sf):
     """Forty well-connected parts around two anchors (a report's size)."""
-    e = [(r["a"], r["b"]) for r in _crew_edges(spark, sf).where("a < 300 AND b < 300").select("a", "b").collect()]
+    e = [(r["a"], r["b"]) for r in _crew_edges(spark, sf).select("a", "b").collect()]
     core = g.connected_core(sorted({x for p in e for x in p}), e, [1, 2], 40)
     return spark.createDataFrame([(int(x),) for x in core], "entity bigint")

@@ -3,9 +3,12 @@
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import pyarrow.parquet as pq
 
-from quillon.plans import q_graph
+from quillon.functions import stats
+from quillon.operators import graph as g
+from quillon.plans import q_graph, q_stats
 
 
 def _rows(sf, name, *columns):
@@ -38,3 +41,24 @@ def test_selection_and_alternates_of_all_pairs(spark, sf):
     assert {(a + b) % 7 for a, b in chosen.values()} == set(range(7))
     also = [r["pair"] for r in q_graph.also_signals(spark, sf).collect()]
     assert set(also) <= set(chosen) and {sum(chosen[p]) % 7 for p in also} == set(range(7))
+
+
+SF = "/root/testdata/sf0.01"  # has parts and customers from 300 on
+
+
+def test_core_of_all_edges(spark):
+    edges = [(r["a"], r["b"]) for r in q_graph._crew_edges(spark, SF).collect()]
+    want = g.connected_core(sorted({x for e in edges for x in e}), edges, [1, 2], 40)
+    got = [r["entity"] for r in q_graph.connected_core(spark, SF).collect()]
+    assert sorted(got) == sorted(want) and max(got) >= 300
+
+
+def test_intervals_of_all_customers(spark):
+    by = defaultdict(list)
+    for segment, x, y in _rows(SF, "customer", "c_mktsegment", "c_acctbal", "c_custkey"):
+        by[segment].append((float(x), float(y)))
+    want = {}
+    for segment, rows in by.items():
+        x, y = (np.array(c) for c in zip(*sorted(rows), strict=True))
+        want[segment] = stats.bootstrap_interval(x, y, 100, 42)
+    assert {r["key"]: (r["lo"], r["hi"]) for r in q_stats.bootstrap_interval(spark, SF).collect()} == want
