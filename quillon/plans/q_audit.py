@@ -148,7 +148,7 @@ def rebuttals(spark, sf):
 
 @query("family_scores", "A25 J11")
 def family_scores(spark, sf):
-    return au.score_predicate_pairs(_with_outcomes(_sparse(spark, sf)), 2000, [("won", "lost")]).where("k > 1")
+    return au.score_predicate_pairs(_with_outcomes(_sparse(spark, sf)), an.entity(spark, sf).count(), [("won", "lost")]).where("k > 1")
 
 
 @query("leverage", "A26 Z17", "WITH o AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS i, count(*) OVER () AS n FROM lineitem) SELECT min(CASE WHEN i = CAST(floor((n - 1) * 0.01) AS BIGINT) + 1 THEN v END) AS p01, min(CASE WHEN i = CAST(floor((n - 1) * 0.99) AS BIGINT) + 1 THEN v END) AS p99 FROM o")

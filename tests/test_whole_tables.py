@@ -7,8 +7,9 @@ import numpy as np
 import pyarrow.parquet as pq
 
 from quillon.functions import stats
+from quillon.operators import audit as au
 from quillon.operators import graph as g
-from quillon.plans import q_graph, q_stats
+from quillon.plans import q_audit, q_graph, q_stats
 
 
 def _rows(sf, name, *columns):
@@ -62,3 +63,12 @@ def test_intervals_of_all_customers(spark):
         x, y = (np.array(c) for c in zip(*sorted(rows), strict=True))
         want[segment] = stats.bootstrap_interval(x, y, 100, 42)
     assert {r["key"]: (r["lo"], r["hi"]) for r in q_stats.bootstrap_interval(spark, SF).collect()} == want
+
+
+def test_family_scores_by_the_number_of_parts(spark, sf):
+    parts = len(_rows(sf, "part", "p_partkey"))
+    tags = q_audit._with_outcomes(q_audit._sparse(spark, sf))
+    rows = lambda df: sorted(map(tuple, df.where("k > 1").collect()))
+    want = rows(au.score_predicate_pairs(tags, parts, [("won", "lost")]))
+    assert parts != 2000 and want and rows(q_audit.family_scores(spark, sf)) == want
+    assert want != rows(au.score_predicate_pairs(tags, 2000, [("won", "lost")]))
