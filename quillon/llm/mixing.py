@@ -23,18 +23,24 @@ Targets are weights by domain, scaled to sum 1; the total is that of the
 documents' words.  A target for a domain that the labelled table lacks can't be
 met and raises ``ValueError``; domains without a target get target 0.
 
+Where rates that aren't negative can't meet the targets, they come as near as
+the rounds bring them, and a warning says how near.
+
 ``copies`` realises the rate: its whole part, plus one with the probability of
 its fraction, decided by a hash of the id.
 
 Nulls and edges: documents without words get the class shares as posterior and
 weigh nothing.  Null labels are no labels.  Without labelled rows the result
-has rate 1 and no posteriors (an empty map).  Repeated rows count each.  An
-empty table gives no rows.  Columns of the result that clash with a column of
+has rate 1 and no posteriors (an empty map).  Repeated rows count each, and
+have the same rate; of equal posteriors each keeps its own share.  Whole texts
+count, however long: a text's evidence is bounded, its words aren't.  An empty
+table gives no rows.  Columns of the result that clash with a column of
 the documents replace it.
 """
 
 from __future__ import annotations
 
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -129,6 +135,8 @@ def fit_rates(members: DataFrame, targets: np.ndarray, *, rounds: int = 60, tole
                 break
         steps.append(step)
         reached, live = after, living
+    if total and np.abs(reached - targets).max() >= 1e3 * tolerance:
+        warnings.warn(f"rates meet the targets to {np.abs(reached - targets).max():.2g} of all words only: {reached.tolist()} for {targets.tolist()}", stacklevel=2)
     return steps, reached * total
 
 

@@ -13,11 +13,17 @@ trust.
 Edges are counted by pair of hosts before anything else, so that a host with a
 third of all pages is one row; every round joins (kind, host) scores with
 weighted edges and sums partially.  Scores go to the shared folder every few
-rounds.  Scores are rounded to nine decimals before they are compared.
+rounds, until these change no score by more than 1e-10.  Scores are rounded to
+nine decimals before they are compared.
 
 Nulls and edges: a null url, or one without ``://``, has an empty host and path
-and no rule; it has no seeds either, so that it is allowed.  Null html has no links.  Repeated rows give as many rows; a
-null id is kept.  Without links no round is run.  An empty table gives no rows.
+and no rule; it has no seeds either, so that it is allowed.  Null html has no
+links; whole pages are searched, however long, in time that grows with their
+length.  Repeated rows give as many rows, and their links count each; a null id
+is kept.  Of rules that fit the longest wins, of equal ones the last by text;
+distrust that equals the threshold blocks, distrust that equals trust doesn't.
+Without links no round is run.  An empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,16 +60,37 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
     return out
 
 
+# The references by which the characters that part an address may be written.
+REFERENCES = {":": "&#0*58;|&#[xX]0*3[aA];|&colon;", "/": "&#0*47;|&#[xX]0*2[fF];|&sol;", ".": "&#0*46;|&#[xX]0*2[eE];|&period;", "&": "&#0*38;|&#[xX]0*26;|&amp;"}
+
+
+def link_hosts(html: Column) -> Column:
+    """Hosts of all absolute links of a page, repeated ones too."""
+    links = F.regexp_extract_all(html, F.lit(r"""(?i)(?<![-\w])href\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s>"']++)"""), F.lit(1))
+
+    def host(link: Column) -> Column:
+        for char, written in REFERENCES.items():
+            link = F.regexp_replace(link, written, char)
+        link = F.regexp_replace(link, r"""^["']?\s*+|\s++["']?$|["']$""", "")
+        return F.when(link.rlike("(?i)^(https?:)?//"), host_of(F.concat(F.lit("http://"), F.regexp_replace(link, "(?i)^(https?:)?//", "")))).otherwise("")
+
+    return F.transform(links, host)
+
+
 def host_edges(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """(src, dst, n): links between different hosts, by absolute address."""
-    links = F.regexp_extract_all(F.col(html_col), F.lit(r"""(?i)href\s{0,9}=\s{0,9}["']?\s{0,9}((?:https?:)?//[^"'\s>]+)"""), F.lit(1))
-    found = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(links).alias("link"))
-    found = found.select("src", host_of(F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))).alias("dst"))
+    found = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(link_hosts(F.col(html_col))).alias("dst"))
     return found.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
-    """(host, trust, distrust) from edges (src, dst, n) and seeds (host, trust, distrust)."""
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int | None = None, every: int = 5, tolerance: float = 1e-10) -> DataFrame:
+    """(host, trust, distrust) from edges (src, dst, n) and seeds (host, trust, distrust).
+
+    Rounds go on until ``every`` of them change no score by more than
+    ``tolerance`` (of the score, where that is over 1).  A round passes on the
+    damped part of what the one before changed, so that this ends.  ``rounds``
+    sets their number instead.
+    """
     edges = materialise(edges, "edges")
     if edges.isEmpty():
         return seeds
@@ -77,23 +104,31 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
     start = materialise(ends.join(start, ["kind", "host"], "full").select("kind", "host", F.coalesce("seed", F.lit(0.0)).alias("seed")), "seeds")
     score = start.select("kind", "host", F.col("seed").alias("x"))
     along = flow.select("kind", F.col("a").alias("host"), "b", "w")
-    for k in range(1, rounds + 1):
-        given = score.join(along, ["kind", "host"]).groupBy("kind", "b").agg(F.sum(F.col("x") * F.col("w")).alias("got")).withColumnRenamed("b", "host")
-        score = start.join(given, ["kind", "host"], "left").select("kind", "host", (F.col("seed") + damping * F.coalesce("got", F.lit(0.0))).alias("x"))
-        if k % every == 0 or k == rounds:
-            score = materialise(score, "scores")
+    def passed_on(x: DataFrame) -> DataFrame:
+        given = x.join(along, ["kind", "host"]).groupBy("kind", "b").agg(F.sum(F.col("x") * F.col("w")).alias("got")).withColumnRenamed("b", "host")
+        return start.join(given, ["kind", "host"], "left").select("kind", "host", (F.col("seed") + damping * F.coalesce("got", F.lit(0.0))).alias("x"))
+
+    done, change = 0, float("inf")
+    while done < rounds if rounds is not None else change > tolerance:
+        old, n = score, every if rounds is None else min(every, rounds - done)
+        for _ in range(n):
+            score = passed_on(score)
+        score, done = materialise(score, "scores"), done + n
+        if rounds is None:
+            was = old.withColumnRenamed("x", "was")
+            change = score.join(was, ["kind", "host"]).agg(F.max(F.abs(F.col("x") - F.col("was")) / F.greatest("x", F.lit(1.0)))).first()[0] or 0.0
     pick = lambda kind: F.round(F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("x"))), F.lit(0.0)), 9)
     return score.groupBy("host").agg(pick("t").alias("trust"), pick("d").alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int = 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.5, damping: float = 0.85, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule and verdict of every row."""
     url = F.col(url_col)
     base = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     base = base.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
     share = lambda v: F.avg(F.when(F.col("r.verdict") == v, 1.0).otherwise(0.0))
     seeds = base.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    hosts = propagate(host_edges(pages, html_col, url_col), seeds, damping=damping, rounds=rounds)
+    hosts = propagate(host_edges(pages, html_col, url_col), seeds, damping=damping)
     bad = hosts.where((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))).select("host", F.lit(True).alias("bad"))
     bad = materialise(bad, "blocked")  # a plain table, so that the join can split a hot host's pages
     out = base.join(bad, "host", "left")

@@ -70,3 +70,51 @@ def test_links_decide(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert {(r.src, r.dst, r.n) for r in host_edges(df).collect()} == {("spam.org", "bad.net", 2), ("good.org", "fine.com", 1)}
     assert {r.page_id: r.verdict for r in judge_urls(df).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+def test_converged_cycle(spark):
+    """Two hosts that link to each other, one page in six of the first blocked by a rule: 20 rounds would allow what the limit blocks."""
+    edges = [("a", "b", 1), ("b", "a", 1)]
+    seeds = [("a", 0.0, 0.15), ("b", 0.0, 0.0), ("c", 0.2, 0.1)]
+    frame = lambda: (spark.createDataFrame(edges, "src string, dst string, n bigint"), spark.createDataFrame(seeds, "host string, trust double, distrust double"))
+    got = {r.host: r.distrust for r in propagate(*frame()).collect()}
+    assert got["a"] == pytest.approx(0.15 / (1 - 0.85**2), abs=1e-8) and got["b"] == pytest.approx(0.85 * 0.15 / (1 - 0.85**2), abs=1e-8) and got["c"] == 0.1
+    assert {r.host: r.distrust for r in propagate(*frame(), rounds=20).collect()}["a"] < got["a"] - 0.01
+    pages = [(i, f"http://a.net/{'es' if i == 0 else 'x'}/{i}", '<a href="http://b.org/">' if i else "", 1, "") for i in range(6)] + [(9, "http://b.org/1", '<a href="http://a.net/">', 1, "")]
+    verdicts = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert {verdicts[i] for i in range(6)} == {"block"}  # 1/6 / (1 - 0.85**2) = 0.6
+
+
+LINKS = [
+    ('<a href          =           "         http://a.com/x">', ["a.com"]),
+    ("<a HREF=\nHTTPS://B.com?q>", ["b.com"]),
+    ('<a href="http&#58;&#x2F;&#47;c.com&sol;p?x=1&amp;y=2">', ["c.com"]),
+    ("<a href='//d.com'><a href=//d.com>", ["d.com", "d.com"]),
+    ('<a data-href="http://no.com/"><a href="/here"><a href="mailto:x@y.z"><a href="#"><a href="">', [""] * 4),
+    ("href" + " " * 200_000 + "x", []),
+    ("href=" * 50_000, None),
+]
+
+
+def test_links(spark):
+    from quillon.llm.url_filters import link_hosts
+
+    got = [r.h for r in spark.createDataFrame([(i, x) for i, (x, _) in enumerate(LINKS)], "i int, html string").coalesce(1).select("i", link_hosts("html").alias("h")).orderBy("i").collect()]
+    for hosts, (_, want) in zip(got, LINKS, strict=True):
+        assert want is None or hosts == want
+
+
+def test_parts_like_sql(spark, sf):
+    """Host, path and rule of every page against SQL."""
+    from tests.oracle import connect
+
+    def fits(name, tail):
+        return f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{tail}')"
+
+    whens = " ".join(f"WHEN {fits(r.partition('/')[0], r.partition('/')[2])} THEN '{r}'" for _, r in sorted(RULES, key=lambda r: -len(r[1])))
+    sql = f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM u)
+    SELECT page_id, host, path, CASE {whens} END AS rule FROM p ORDER BY page_id"""
+    want = connect(sf).sql(sql).fetchall()
+    got = judge_urls(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", "host", "path", "rule").orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == want and len({w[3] for w in want}) > 2
