@@ -25,13 +25,18 @@ are joined in page order by two line feeds.  Nothing else is dropped or capped.
 Nulls and edges: null or empty html, and pages without text, give an empty text
 of 0 characters.  Unclosed, misnested and unknown tags are read as browsers
 would, near enough: a block start ends an open paragraph, an end tag ends all it
-encloses, stray end tags are ignored.  Every row gives one row.
+encloses, stray end tags are ignored.  Text of formulas and drawings counts, their
+annotations don't.  Of containers with equal points the first is kept.  Whole
+pages are read, however long, in time that grows with their length.  Every row
+gives one row, repeated rows too; an empty table gives none.  Columns other than
+the three named are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,7 +50,7 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math".split())
+RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes annotation annotation-xml metadata".split())
 BLOCK = frozenset("address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("nav header footer aside form menu dialog button select option object canvas audio video head".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
@@ -139,6 +144,7 @@ class Page:
     def _read(self, source: str) -> None:
         stack, links, at, n = [0], 0, 0, len(source)
         blocks = [0]  # places in the stack that hold blocks
+        places: dict[str, list[int]] = {}  # places in the stack by tag, so that no step searches the stack
 
         def pop(to: int) -> None:
             nonlocal links
@@ -148,6 +154,7 @@ class Page:
                     self._flush(node)
                     blocks.pop()
                 links -= self.tag[node] == "a"
+                places[self.tag[node]].pop()
                 stack.pop()
 
         while at < n:
@@ -163,11 +170,8 @@ class Page:
                 if name == "br":
                     self._text.append((" ", False, 0))
                     continue
-                low = blocks[-1] if name not in BLOCK else 0
-                for k in range(len(stack) - 1, low - 1 if name in BLOCK else low, -1):
-                    if k and self.tag[stack[k]] == name:
-                        pop(k)
-                        break
+                if (held := places.get(name)) and (name in BLOCK or held[-1] > blocks[-1]):
+                    pop(held[-1])
                 continue
             name = (m[2] or m[4] or "").lower()
             if not name:
@@ -182,24 +186,14 @@ class Page:
                 self._text.append((" ", False, 0))
                 continue
             if name in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):  # an open paragraph ends here
-                    held = self.tag[stack[k]]
-                    if held == "p":
-                        pop(k)
-                        break
-                    if held in BLOCK:
-                        break
+                if self.tag[stack[blocks[-1]]] == "p":  # an open paragraph ends here
+                    pop(blocks[-1])
                 if name in ENDS:
                     closes, within = ENDS[name]
-                    closes, found = closes.split(), 0
-                    for k in range(len(stack) - 1, 0, -1):
-                        held = self.tag[stack[k]]
-                        if held in within:
-                            break
-                        if held in closes:
-                            found = k
-                    if found:
-                        pop(found)
+                    low = max((held[-1] for w in within if (held := places.get(w))), default=0)
+                    inside = [held[k] for c in closes.split() if (held := places.get(c)) and (k := bisect_right(held, low)) < len(held)]
+                    if inside:
+                        pop(min(inside))
                 self._flush(stack[blocks[-1]])
             if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCK:
                 continue
@@ -208,6 +202,7 @@ class Page:
             dropped, words = _unwanted(name, attributes)
             self.drop.append(self.drop[stack[-1]] or dropped)
             stack.append(len(self.tag) - 1)
+            places.setdefault(name, []).append(len(stack) - 1)
             if words:
                 self.words[stack[-1]] = words
             if name in BLOCK:
