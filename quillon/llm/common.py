@@ -64,7 +64,21 @@ def blocks_for(df: DataFrame, per_block: int = TEXT_PER_BLOCK) -> int:
     """As many blocks as shuffle partitions, more where the plan's size estimate asks for it."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(n, min(size // per_block + 1, 200_000)) if size < 1 << 60 else n
+    return max(n, size // per_block + 1) if size < 1 << 60 else n
+
+
+def ranges_for(df: DataFrame, blocks: int) -> int:
+    """Ranges of the hash space: as many as shuffle partitions, or an eighth of the blocks, whose distinct keys a range's task can still hold."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // 8)
+
+
+def deal(blocks: int) -> Column:
+    """Block of a row with doc_id and text: by both, and by the row's partition, so that neither repeated rows nor null ids gather.
+
+    A row's partition is the same whenever its task is run again, and the places
+    that use the blocks share one exchange.
+    """
+    return F.pmod(F.xxhash64("doc_id", F.length("text"), F.spark_partition_id()), F.lit(blocks)).cast("int")
 
 
 def remainder(doc_id: Column, of: int) -> Column:
@@ -122,7 +136,7 @@ def unpack_keys(b: bytes) -> np.ndarray:
 
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each of ``buckets`` equal ranges of the 64-bit space begins among sorted keys (one more entry at the end)."""
-    edges = (np.arange(1, buckets, dtype=object) * 2**64 // buckets).astype(np.uint64) if buckets > 1 else np.zeros(0, np.uint64)
+    edges = np.arange(1, buckets, dtype=np.uint64) * np.uint64(2**64 // buckets) if buckets > 1 else np.zeros(0, np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
 
 

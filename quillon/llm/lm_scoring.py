@@ -18,16 +18,20 @@ right.  The state that the path is in is all that is carried.
 
 **How it is spread out.**  The automaton of a whole corpus fits no machine, so
 each block of documents gets the part that its own texts can reach: a block
-sends its distinct n-gram hashes, packed and sorted, to as many ranges of the
-hash space as there are partitions; each range adds up counts over all blocks
-and answers each block in the order that it asked.  Keys are combined in the
-block first, so that a common n-gram has one entry a block, whatever its count.
+sends its distinct n-gram hashes, packed and sorted, to ranges of the hash space
+(an eighth of the blocks, or the number of partitions); each range adds up
+counts over all blocks and answers each block in the order that it asked.  Keys
+are combined in the block first, so that a common n-gram has one entry a block,
+whatever its count; a block sends a row to the ranges that it has keys for only,
+so that rows are never more than keys.
 
 Nulls and edges: a null or empty text is the end mark alone.  Null ids are kept
 (their remainder is that of the empty text); rows that repeat are scored once
 each and count once each in training.  An empty table gives no rows.  Without
-training documents, N = V = 0 and every token weighs log10(1 / 1) = 0.  Other
-columns are ignored, whatever their names.
+training documents, N = V = 0 and every token weighs log10(1 / 1) = 0.  Equal
+texts have equal scores.  Whole texts are read; a block of them is a task's
+work, so that a text must fit in a task's memory.  Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import textkernel as tk
-from quillon.llm.common import as_array, blocks_for, bucket_edges, merge_totals, pack_ints, pack_keys, remainder, ship, sorted_distinct, unpack_ints, unpack_keys, with_inverse
+from quillon.llm.common import as_array, blocks_for, bucket_edges, deal, merge_totals, pack_ints, pack_keys, ranges_for, remainder, ship, sorted_distinct, unpack_ints, unpack_keys, with_inverse
 
 BEGIN, END = np.uint64(0x1BADB002B16B00B5), np.uint64(0x0DDB1A5E5BA5E000 | 1)
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -116,6 +120,8 @@ class BackoffAutomaton:
         for k in range(1, order + 1):
             key, at = grams(seq, begin, k)
             found, inverse = with_inverse(key)
+            if len(found) != len(counts[k]):
+                raise ValueError("a block holds other texts than it asked for")
             self.gram[k] = np.full(len(seq), -1, np.int64)
             self.gram[k][at] = inverse
             if k > 1:
@@ -188,7 +194,7 @@ def _score_block(docs: pa.Table, totals: pa.Table, order: int, mu: float, tokens
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _type_counts(order_buckets: int):
+def _type_counts(ranges: int):
     """Tokens and types of training, by range of the hash space: distinct words once a task."""
 
     def gather(batches):
@@ -203,7 +209,7 @@ def _type_counts(order_buckets: int):
                 kept = [(keys, total)]
         if kept:
             keys, total, _ = merge_totals([x[0] for x in kept], [x[1] for x in kept])
-            edges = bucket_edges(keys, order_buckets)
+            edges = bucket_edges(keys, ranges)
             r = np.flatnonzero(np.diff(edges))
             yield pa.record_batch([pa.array(r.astype(np.int32)), pa.array([pack_keys(keys[edges[i] : edges[i + 1]]) for i in r], pa.binary()), pa.array([int(total[edges[i] : edges[i + 1]].sum()) for i in r], pa.int64())], names=["r", "keys", "n"])
 
@@ -225,9 +231,10 @@ def score_texts(docs: DataFrame, *, order: int = 2, mu: float = 4.0, modulus: in
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"))
     blocks = blocks_for(rows)
-    counted = rows.mapInArrow(_type_counts(blocks), "r int, keys binary, n bigint").groupBy("r").applyInArrow(_types, "n bigint, types bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
+    ranges = ranges_for(rows, blocks)
+    counted = rows.mapInArrow(_type_counts(ranges), "r int, keys binary, n bigint").groupBy("r").applyInArrow(_types, "n bigint, types bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
     tokens, types = int(counted["n"]), int(counted["types"])
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
-    asked = placed.groupBy("block").applyInArrow(lambda t: _block_keys(t, order, blocks), "r int, block int, k int, keys binary, counts binary")
+    placed = rows.withColumn("block", deal(blocks))
+    asked = placed.groupBy("block").applyInArrow(lambda t: _block_keys(t, order, ranges), "r int, block int, k int, keys binary, counts binary")
     totals = asked.groupBy("r").applyInArrow(_answer, "block int, r int, k int, counts binary")
     return placed.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(lambda d, t: _score_block(d, t, order, mu, tokens, types), SCHEMA)

@@ -34,12 +34,15 @@ texts.
 **Hot keys.**  Equal sets are one set from the start.  Lists of frequent
 shingles are never gathered: their pivots come from an aggregation with
 partial sums, and every task compares its own sets with them.  Groups left open
-are split by salt, with the open sets sent to each part.
+are split into parts of ``OPEN_GROUP`` sets; each pair of parts with an open set
+is a task's work, so that two sets meet once.
 
 Nulls and edges: a null or empty text has an empty set, links with nothing, and
 its component is its own id; a null id gives a row with a null component.  Rows
-that share an id are one document that links where any of its texts does.  An
-empty table gives no rows; other columns are ignored, whatever their names.
+that share an id are one document that links where any of its texts does; rows
+that repeat give a row each.  Whole texts are compared, however long.  A set at
+exactly the threshold links.  An empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,12 +55,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import textkernel as tk
-from quillon.llm.common import as_array, blocks_for, bucket_edges, materialise, merge_totals, pack_ints, pack_keys, ship, sorted_distinct, unpack_ints, unpack_keys
+from quillon.llm.common import as_array, blocks_for, bucket_edges, deal, materialise, merge_totals, pack_ints, pack_keys, ranges_for, ship, sorted_distinct, unpack_ints, unpack_keys
 from quillon.llm.components import components
 
 HOT_DF = 1024  # a shingle of so many documents is never gathered as a list
 HOT_LISTS = 1 << 18  # lists that may be hot: bounds the pivots that are broadcast to some 12 MB, not the result
-OPEN_GROUP = 2000  # rows of a pivot's group that one task compares at a time
+OPEN_GROUP = 500  # rows of a side of a pivot's group that one task compares at a time
 
 
 class Sizes:
@@ -126,6 +129,8 @@ def _prefixes(docs: pa.Table, kinds: pa.Table, size: int, sizes: Sizes) -> pa.Ta
         keys, _ = sorted_distinct(np.concatenate([_sets(p.column("text"), size)[0] >> SHORT for p in parts]))
         answer = kinds["kinds"].take(pa.array(np.argsort(kinds["r"].to_numpy()))).to_pylist() if kinds.num_rows else []
         kind_of = np.frombuffer(b"".join(answer), np.uint8)
+        if len(kind_of) != len(keys):
+            raise ValueError("a block holds other texts than it asked for")
         for part in parts:
             values, at = _sets(part.column("text"), size)
             kind = kind_of[np.searchsorted(keys, values >> SHORT)]
@@ -302,15 +307,27 @@ def _needed(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.where(F.col("doc_id").isNotNull()).where(maybe(slot)).join(ids, "doc_id", "left_semi")
 
 
+def _once(batches):
+    """Rows (doc_id, text) without those that repeat within a batch, which say nothing new."""
+    for b in batches:
+        if len(np.unique(b.column("doc_id").to_numpy())) < b.num_rows:
+            first: dict[tuple, int] = {}
+            for i, key in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
+                first.setdefault(key, i)
+            b = b.take(pa.array(list(first.values())))
+        yield b
+
+
 def _compare(rows: DataFrame, pairs: DataFrame, size: int, blocks: int) -> DataFrame:
     """(a, y, rest) to each y's exact difference from its pivot a: a block of documents gets each pivot's text once."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("y")).distinct()
-    texts = materialise(_needed(rows, ids), "texts")
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    asked = pairs.withColumn("block", place("y")).groupBy("block", "a").agg(F.collect_list(F.struct("y", "rest")).alias("ys"))
-    asked = asked.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("pivot_text")), "a").select("block", "a", "ys", "pivot_text")
-    left = texts.join(pairs.select(F.col("y").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("block", place("doc_id"))
-    return left.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda d, q: _differences(d, q, size), "a bigint, shape bigint, y bigint, rest bigint, na bigint, ny bigint, common bigint, missing binary, extra binary")
+    spot = F.pmod(F.xxhash64("doc_id", F.length("text"), F.xxhash64("text")), F.lit(blocks)).cast("int")
+    texts = materialise(_needed(rows, ids).mapInArrow(_once, "doc_id bigint, text string").withColumn("block", spot), "texts")
+    place = texts.select(F.col("doc_id").alias("y"), F.col("block").alias("at")).distinct()
+    asked = pairs.join(place, "y").groupBy("at", "a").agg(F.collect_list(F.struct("y", "rest")).alias("ys"))
+    asked = asked.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("pivot_text")), "a").select("at", "a", "ys", "pivot_text")
+    left = texts.join(pairs.select(F.col("y").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return left.groupBy("block").cogroup(asked.groupBy("at")).applyInArrow(lambda d, q: _differences(d, q, size), "a bigint, shape bigint, y bigint, rest bigint, na bigint, ny bigint, common bigint, missing binary, extra binary")
 
 
 class _Deltas:
@@ -332,21 +349,20 @@ class _Deltas:
 
 
 def _open_links(table: pa.Table, sizes: Sizes) -> pa.Table:
-    """Links between components that one pivot's group still has: of open sets with any other, derived from the differences.
+    """Links between components that one pivot's group still has: of its ``left`` sets with its ``right`` ones, derived from the differences.
 
     |x & y| = |a| - |a - x| - |a - y| + |(a - x) & (a - y)| + |(x - a) & (y - a)|.
     """
-    is_x = as_array(table["is_x"]).to_numpy(zero_copy_only=False)
+    left, right = (np.flatnonzero(as_array(table[c]).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
     col = {c: as_array(table[c]).to_numpy() for c in ("c", "na", "ny", "common", "rest")}
-    side, found = np.flatnonzero(~is_x), set()
-    if not len(side) or not is_x.any():
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    raw = [table[c].to_pylist() for c in ("missing", "extra")]
-    missing = [unpack_ints(raw[0][i]).astype(np.int64) for i in range(len(is_x))]
-    extra = [np.frombuffer(raw[1][i], np.uint64) for i in range(len(is_x))]
-    m, e = _Deltas([missing[i] for i in side]), _Deltas([extra[i] for i in side])
-    oy, ny, ry, cy = (col[c][side] for c in ("common", "ny", "rest", "c"))
-    for i in np.flatnonzero(is_x):
+    found: set[tuple[int, int]] = set()
+    if len(left) and len(right):
+        raw = [table[c].to_pylist() for c in ("missing", "extra")]
+        missing = [unpack_ints(b).astype(np.int64) for b in raw[0]]
+        extra = [np.frombuffer(b, np.uint64) for b in raw[1]]
+        m, e = _Deltas([missing[i] for i in right]), _Deltas([extra[i] for i in right])
+        oy, ny, ry, cy = (col[c][right] for c in ("common", "ny", "rest", "c"))
+    for i in left if len(right) else ():
         o, n, r, c = (int(col[k][i]) for k in ("common", "ny", "rest", "c"))
         need = sizes.least_common(n, ny)
         ok = (cy != c) & (np.minimum(n, ny) >= need) & (np.minimum(o + ny - oy, oy + n - o) >= need) & (np.minimum(r, ry) >= need)
@@ -359,6 +375,23 @@ def _open_links(table: pa.Table, sizes: Sizes) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _dealt(member: DataFrame) -> DataFrame:
+    """A pivot's group in cells, so that each open set meets each other open set, and each of the closed ones, in one cell.
+
+    Open sets are dealt to ``opens`` parts, closed ones to ``others``; a cell has
+    an open part on its left, and that or a later open part, or a closed part,
+    on its right.
+    """
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    part = F.pmod(F.xxhash64("y"), F.when(F.col("is_x"), F.col("opens")).otherwise(F.col("others"))).cast("int")
+    side = lambda kind, i, j, left: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), left.alias("left"), (~left | ((F.lit(kind) == 0) & (i == j))).alias("right"))
+    p = F.col("own_part")
+    of_open = F.concat(F.transform(upto("opens"), lambda j: side(0, F.least(p, j), F.greatest(p, j), p <= j)), F.transform(upto("others"), lambda j: side(1, p, j, F.lit(True))))
+    of_closed = F.transform(upto("opens"), lambda i: side(1, i, p, F.lit(False)))
+    cells = member.withColumn("own_part", part).withColumn("cell", F.explode(F.when(F.col("is_x"), of_open).otherwise(of_closed)))
+    return cells.select("a", "shape", "cell.*", "c", "na", "ny", "common", "rest", "missing", "extra")
+
+
 def near_duplicate_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", hot_df: int = HOT_DF) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
@@ -366,9 +399,10 @@ def near_duplicate_groups(docs: DataFrame, *, size: int = 4, percent: int = 85,
     sizes = Sizes(percent)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = blocks_for(rows)
+    ranges = ranges_for(rows, blocks)
 
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
-    counted = placed.groupBy("block").applyInArrow(lambda t: _block_counts(t, size, blocks), "r int, block int, keys binary, counts binary")
+    placed = rows.withColumn("block", deal(blocks))
+    counted = placed.groupBy("block").applyInArrow(lambda t: _block_counts(t, size, ranges), "r int, block int, keys binary, counts binary")
     kinds = counted.groupBy("r").applyInArrow(_classes, "block int, r int, kinds binary")
     sets = materialise(placed.groupBy("block").cogroup(kinds.groupBy("block")).applyInArrow(lambda d, k: _prefixes(d, k, size, sizes), SET_SCHEMA), "sets")
     whole = sets.where("doc_id IS NOT NULL AND n > 0")
@@ -382,7 +416,7 @@ def near_duplicate_groups(docs: DataFrame, *, size: int = 4, percent: int = 85,
     order = np.argsort(hot_keys)
     table = spark.sparkContext.broadcast((hot_keys[order], as_array(pivots["v"]).to_numpy()[order], as_array(pivots["n"]).to_numpy()[order]))
     pair = "a bigint, y bigint, rest bigint"
-    lists = indexed.mapInArrow(_postings(sizes, blocks, hot), "r int, shingles binary, v binary, n binary, place binary").groupBy("r").applyInArrow(lambda t: _list_pairs(t, sizes), pair)
+    lists = indexed.mapInArrow(_postings(sizes, ranges, hot), "r int, shingles binary, v binary, n binary, place binary").groupBy("r").applyInArrow(lambda t: _list_pairs(t, sizes), pair)
     pairs = materialise(indexed.mapInArrow(_hot_pairs(sizes, hot, table), pair).unionByName(lists).groupBy("a", "y").agg(F.max("rest").alias("rest")), "pairs")
 
     compared = materialise(_compare(rows, pairs, size, blocks), "compared")
@@ -392,15 +426,12 @@ def near_duplicate_groups(docs: DataFrame, *, size: int = 4, percent: int = 85,
     label = lambda df, v, c: df.join(near.select(F.col("v").alias(v), F.col("c").alias(c)), v, "left").withColumn(c, F.coalesce(c, v))
     group = label(label(compared.select("a", "shape", "y", "ny", "common"), "a", "ca"), "y", "c").withColumn("open", F.col("ca") != F.col("c"))
     left_open = F.min(F.when(F.col("open"), F.expr(f"(ny * {percent} + 99) div 100 - common"))).alias("least")
-    totals = group.groupBy("a", "shape").agg(left_open, (F.count("*") / OPEN_GROUP).cast("int").alias("parts")).where("least IS NOT NULL")
-    totals = materialise(totals.withColumn("parts", F.col("parts") + 1), "totals")  # a plain table, so that the join can split a hot pivot's rows
+    in_parts = lambda n: F.ceil(n / OPEN_GROUP).cast("int")
+    totals = group.groupBy("a", "shape").agg(left_open, in_parts(F.count_if("open")).alias("opens"), F.greatest(F.lit(1), in_parts(F.count_if(~F.col("open")))).alias("others"))
+    totals = materialise(totals.where("least IS NOT NULL"), "totals")  # a plain table, so that the join can split a hot pivot's rows
     if not totals.isEmpty():
         member = label(label(compared.join(totals, ["a", "shape"]), "a", "ca"), "y", "c").withColumn("is_x", F.col("ca") != F.col("c")).where("is_x OR ny - common >= least")
-        salt = F.when(F.col("is_x"), F.sequence(F.lit(0), F.col("parts"))).otherwise(F.array(F.pmod(F.xxhash64("y"), F.col("parts")).cast("int")))
-        dealt = member.withColumn("part", F.explode(salt))  # part = parts stands for an open set's own place among the others
-        own = (F.col("part") == F.col("parts")).alias("own")
-        dealt = dealt.select("a", "shape", F.when(own, F.pmod(F.xxhash64("y"), F.col("parts")).cast("int")).otherwise(F.col("part")).alias("part"), "c", "na", "ny", "common", "rest", "missing", "extra", (F.col("is_x") & ~own).alias("is_x"))
-        late = materialise(dealt.groupBy("a", "shape", "part").applyInArrow(lambda t: _open_links(t, sizes), "a bigint, b bigint").distinct(), "late")
+        late = materialise(_dealt(member).groupBy("a", "shape", "kind", "i", "j").applyInArrow(lambda t: _open_links(t, sizes), "a bigint, b bigint").distinct(), "late")
         if not late.isEmpty():
             joined = components(late).select(F.col("v").alias("c"), F.col("c").alias("low"))
             extra = joined.select(F.col("c").alias("v"), F.col("low").alias("c"))  # a component may be one unlinked id
