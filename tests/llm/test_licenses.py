@@ -80,3 +80,43 @@ def test_windows_lose_nothing():
                     if score >= 0.8 and digits <= set(window):
                         want.add((round(score, 9), name, size))
         assert got == want
+
+
+def test_like_plain_tf_idf():
+    """Cosines of whole notices against TF-IDF written out: idf = log((1 + n) / (1 + df)) + 1 over all variants."""
+    import math
+    from collections import Counter
+
+    t = Templates(TEMPLATES, 0.8)
+    variants = [(name, Counter(tokens(x))) for name in TEMPLATES for x in TEMPLATES[name]]
+    n = len(variants)
+    df = Counter(w for _, words in variants for w in words)
+    idf = lambda w: math.log((1 + n) / (1 + df.get(w, 1))) + 1
+
+    def cosine(a, b):
+        norm = lambda v: math.sqrt(sum((c * idf(w)) ** 2 for w, c in v.items()))
+        return sum(c * b[w] * idf(w) ** 2 for w, c in a.items()) / norm(a) / norm(b)
+
+    for text, _ in WITHIN:
+        words = tokens(text)
+        score, name = t.best(words)
+        want = {x: max(cosine(Counter(words), v) for y, v in variants if y == x) for x in TEMPLATES}
+        assert abs(score - max(want.values())) < 1e-9 and abs(want[name] - score) < 1e-9
+
+
+CHANGED = [
+    ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "GPL-3.0"),
+    ("Redistribution and use in source and binary forms, with or without modifications, are permitted provided the following conditions are met", "BSD-3-Clause"),
+    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is granted", "ISC"),
+    ("Licensed under the Apache Licence, Version 2.0 (the \"License\"); you may not use this code except in compliance with the License.", "Apache-2.0"),
+]
+UNLISTED = ["This work is licensed under the Eclipse Public License 2.0.", "Licensed under the Artistic License 2.0.", "All rights reserved. No part of this work may be copied without permission.", "SPDX-License-Identifier: EPL-2.0", "This is free and unencumbered software released into the public domain.", "Licensed under the Server Side Public License, version 1."]
+
+
+def test_changed_notices_are_found_and_unlisted_licences_are_not():
+    t = Templates(TEMPLATES, 0.8)
+    for text, want in CHANGED:
+        name, score, _ = t.notice(text)
+        assert name == want and 0.8 <= score < 1 - 1e-6, (text, name, score)
+    for text in UNLISTED:
+        assert t.notice(text)[0] is None, (text, t.notice(text))
