@@ -6,17 +6,30 @@ kept, and returns a DataFrame; all but the last return the columns of
 
 1. *quality*: documents that the quality classifier rejects (score below 0.5) go.
 2. *near_duplicates*: of each component of documents whose five-word shingles
-   have Jaccard similarity 0.8 or more, the one with the smallest id stays; of
-   rows that share an id one stays.  Documents without words, and rows without
-   an id, stay.
+   have Jaccard similarity 0.8 or more, the one with the smallest id stays.  Rows
+   that share an id are one document: of equal texts among them one row stays,
+   different ones stay or go together.  Documents without words, and rows
+   without an id, stay.
 3. *decontamination*: documents that contain 80 % of the five-word shingles of a
    benchmark item go.
 4. *mixing*: every document left gets a rate and a number of copies, so that
    expected words by language match ``TARGETS``.
+
+Nulls and edges, for all stages: null and empty texts are documents without
+words (the classifier scores them, no stage fails on them); null ids stay rows
+of their own.  Whole texts count, however long.  Rows that repeat are dealt with
+alike, and become one in the second stage.  Ties: a score of exactly 0.5 stays,
+a similarity of exactly 0.8 is a near duplicate, a containment of exactly 80 %
+goes.  Empty tables give empty results.  Columns beyond those of ``documents``
+are kept as they are, whatever their names; in the last stage those named like
+its results are replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +50,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates."""
     groups = near_duplicate_groups(docs, size=5, percent=80)
     gone = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    known = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*docs.columns, F.row_number().over(first).alias("quillon_row"))
-    return known.where("quillon_row = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    shared = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared_ids")
+    known = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    row = next(name for k in count() if (name := f"quillon_row{k}") not in {c.lower() for c in docs.columns})
+    first = Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(*docs.columns))
+    of_shared = known.join(shared, "doc_id", "left_semi").withColumn(row, F.row_number().over(first)).where(F.col(row) == 1)
+    kept = [known.join(shared, "doc_id", "left_anti"), of_shared, docs.where("doc_id IS NULL")]
+    return reduce(DataFrame.unionByName, [part.select(*docs.columns) for part in kept])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
