@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.facets import row_numbers
+
 ALPHABET = "".join(chr(c) for c in range(48, 48 + 74))
 
 
 def pack_attributes(values: DataFrame, vocabulary: list[str], rungs: int = 10) -> DataFrame:
-    """(entity, packed): one character for the attribute and one for the rung of its strength, in vocabulary order."""
+    """(entity, packed): one character for the attribute and one for the rung of its strength, in vocabulary order; as many attributes and rungs as the alphabet has characters."""
+    if max(len(vocabulary), rungs) > len(ALPHABET):
+        raise ValueError(f"{len(vocabulary)} attributes and {rungs} rungs: one character tells {len(ALPHABET)} apart")
     place = F.create_map(*(F.lit(x) for i, a in enumerate(vocabulary) for x in (a, i)))
     char = lambda i: F.substring(F.lit(ALPHABET), i + 1, F.lit(1))
     code = F.struct(place[F.col("attr")].alias("i"), F.concat(char(place[F.col("attr")]), char(F.floor(F.col("value") * (rungs - 1) + 0.5).cast("int"))).alias("c"))
@@ -46,6 +50,6 @@ def dequantise_int8(codes: Column, scale: Column) -> Column:
 
 def dictionary_encode(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """The table with the column as a code, and the legend (code, value)."""
-    legend = df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct().withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
-    out = df.join(F.broadcast(legend.withColumnRenamed("value", column)), column, "left").drop(column).withColumnRenamed("code", column)
+    legend = row_numbers(df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct(), "value").withColumnRenamed("row", "code")
+    out = df.join(legend.withColumnRenamed("value", column), column, "left").drop(column).withColumnRenamed("code", column)
     return out, legend.select("code", "value")

@@ -279,17 +279,16 @@ def bootstrap_by_group(df: DataFrame, key: str, x: str, y: str, rounds: int = 20
 
 def permutation_p(df: DataFrame, group: str, value: str, rounds: int = 500, seed: int = 1) -> DataFrame:
     """(observed, p): spread of group means against shuffled labels with sizes fixed; one replicate a row of work."""
-    from quillon.functions import stats  # noqa: F401
+    from quillon.operators.facets import row_numbers
 
     rows = df.where(F.col(value).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v"))
     sums = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("m"))
     observed = sums.agg((F.max("m") - F.min("m")).alias("observed"))
-    replicate = rows.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    order = Window.partitionBy("r").orderBy(F.xxhash64(F.lit(seed), "r", "i"))
-    indexed = rows.withColumn("i", F.row_number().over(Window.orderBy("g", "v")))
-    replicate = indexed.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("j", F.row_number().over(order))
+    indexed = row_numbers(rows.groupBy("g", "v").agg(F.count("*").alias("c")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("c")))).select(F.struct("g", "v", "i").alias("key")), "key").select("key.g", "key.v", F.col("row").alias("i"))
+    order = Window.partitionBy("r").orderBy(F.xxhash64(F.lit(seed), "r", "i"), "i")
+    replicate = indexed.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("j", F.row_number().over(order) - 1)
     labels = indexed.select(F.col("i").alias("j"), F.col("g").alias("h"))
-    spread = replicate.join(F.broadcast(labels), "j").groupBy("r", "h").agg(F.avg("v").alias("m")).groupBy("r").agg((F.max("m") - F.min("m")).alias("s"))
+    spread = replicate.join(labels, "j").groupBy("r", "h").agg(F.avg("v").alias("m")).groupBy("r").agg((F.max("m") - F.min("m")).alias("s"))
     return spread.join(F.broadcast(observed)).groupBy("observed").agg(((F.count_if(F.col("s") >= F.col("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import stats as st
+from quillon.operators.facets import row_numbers
 
 
 def signal_shares(edges: DataFrame, column: str = "signal") -> DataFrame:
@@ -79,8 +80,12 @@ def leverage_ok(low: float, high: float, most: float = 4.0) -> bool:
 
 def realised_leverage(df: DataFrame, factor: str) -> DataFrame:
     """(p01, p99, ratio) of a factor, by the upper order statistics."""
-    at = lambda p: F.element_at(F.array_sort(F.collect_list(factor)), (F.floor((F.count(factor) - 1) * p) + 1).cast("int"))
-    return df.agg(at(0.01).alias("p01"), at(0.99).alias("p99")).withColumn("ratio", F.try_divide("p99", "p01"))
+    runs = df.where(F.col(factor).isNotNull()).groupBy(F.col(factor).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    total = runs.agg(F.sum("c").alias("t"))
+    x = runs.withColumn("upto", upto).join(F.broadcast(total))
+    at = lambda p, name: F.min(F.when(F.col("upto") >= F.floor((F.col("t") - 1) * p) + 1, F.col("v"))).alias(name)
+    return x.agg(at(0.01, "p01"), at(0.99, "p99")).withColumn("ratio", F.try_divide("p99", "p01"))
 
 
 def prevalence(tags: DataFrame, total: int, low: float = 0.004, high: float = 0.08) -> DataFrame:
@@ -106,10 +111,13 @@ def predicate_reach(tags: DataFrame, facts: DataFrame, reachable: str = "edge")
 
 
 def pair_stats(tags: DataFrame, side: str) -> DataFrame:
-    """(predicate, pairs, across): distinct pairs, and those across a grouping such as shard or region."""
-    a = tags.select("predicate", F.col("entity").alias("a"), F.col(side).alias("sa")).distinct()
-    b = tags.select("predicate", F.col("entity").alias("b"), F.col(side).alias("sb")).distinct()
-    return a.join(b, "predicate").where("a < b").groupBy("predicate").agg(F.count("*").alias("pairs"), F.count_if(F.col("sa") != F.col("sb")).alias("across"))
+    """(predicate, pairs, across): distinct pairs, and those across a grouping such as shard or region; counted from group sizes, without the pairs."""
+    rows = tags.select("predicate", "entity", F.col(side).alias("side")).distinct()
+    pairs = lambda of, n: F.sum(F.col(of) * F.col(of)).alias(n)
+    entity = rows.groupBy("predicate", "entity").agg(F.count("*").alias("r")).groupBy("predicate").agg(F.sum("r").alias("rows"), pairs("r", "own"))
+    within = rows.groupBy("predicate", "side").agg(F.count("*").alias("r")).groupBy("predicate").agg(F.sum(F.expr("r * (r - 1) div 2")).alias("within"))
+    counted = entity.join(within, "predicate").withColumn("pairs", F.expr("(rows * rows - own) div 2")).where("pairs > 0")
+    return counted.select("predicate", "pairs", (F.col("pairs") - F.col("within")).alias("across"))
 
 
 def rebuttals(tags: DataFrame, opposed: list[tuple[str, str]]) -> DataFrame:
@@ -197,7 +205,7 @@ def hub_share(degrees: DataFrame, top: int = 10) -> DataFrame:
 
 def derangement(df: DataFrame, order: str) -> DataFrame:
     """Rows paired with another row: i with (i + 1 + i mod 7) mod n.  (i, other): a null without own pairs."""
-    x = df.withColumn("i", F.row_number().over(Window.orderBy(order)) - 1)
+    x = row_numbers(df, order).withColumnRenamed("row", "i")
     n = x.agg(F.count("*").alias("n"))
     return x.join(F.broadcast(n)).withColumn("j", (F.col("i") + 1 + F.col("i") % 7) % F.col("n"))
 

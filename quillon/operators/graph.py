@@ -1,8 +1,8 @@
 """Association graph: rarity-weighted proposals over shared values, budgeted selection, and walks on the result.
 
 All pairs come from equi-joins on shared values; a value's rarity floor is
-applied before the join where that is exact, so that common values never pair
-their entities up.
+applied before the join (:func:`lists_over`), so that common values never pair
+their entities up, and where only counts are asked for no pair is made.
 """
 
 from __future__ import annotations
@@ -54,6 +54,39 @@ def shared_lists(shared: DataFrame) -> DataFrame:
     return shared.groupBy("a", "b", "field").agg(ordered.alias("s")).select("a", "b", "field", F.transform("s", lambda x: x["value"]).alias("values"), F.transform("s", lambda x: -x["k"]).alias("idfs"))
 
 
+def lists_over(attrs: DataFrame, least: float) -> DataFrame:
+    """As :func:`shared_lists` of all shared values, for pairs whose rarest one has an idf of ``least`` at least.
+
+    Only values over the floor pair entities up; what else a pair shares is looked up for those pairs alone.
+    """
+    rare, common = shared_values(attrs.where(F.col("idf") >= least)), attrs.where(F.col("idf") < least)
+    side = lambda e: common.select(F.col("entity").alias(e), "field", "value", "idf")
+    more = rare.select("a", "b", "field").distinct().join(side("a"), ["a", "field"]).join(side("b").drop("idf"), ["b", "field", "value"])
+    return shared_lists(rare.unionByName(more.select("a", "b", "field", "value", "idf")))
+
+
+def _linear_strength(signal: str, rare: Column) -> Column:
+    base, slope = LINEAR[signal]
+    return F.round(F.least(F.lit(CEILING[signal]), base + slope * rare), 3)
+
+
+def linear_counts(attrs: DataFrame, field: str, signal: str) -> DataFrame:
+    """(signal, strength, n): how many pairs :func:`linear_proposals` makes, for a field with one value an entity: counted from the values' frequencies, without the pairs."""
+    values = attrs.where((F.col("field") == field) & (F.col("idf") >= FLOOR.get(signal, 0.0))).groupBy("value", "idf").agg(F.count("*").alias("m"))
+    n = values.select(F.lit(signal).alias("signal"), _linear_strength(signal, F.col("idf")).alias("strength"), F.expr("m * (m - 1) div 2").alias("n"))
+    return n.groupBy("signal", "strength").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def era_counts(attrs: DataFrame, entities: DataFrame, field: str, signal: str) -> DataFrame:
+    """As :func:`linear_counts`, of pairs whose known years are close: from entities counted by value and year."""
+    x = attrs.where((F.col("field") == field) & (F.col("idf") >= FLOOR.get(signal, 0.0))).join(entities.select("entity", "year").where("year IS NOT NULL"), "entity")
+    held = x.groupBy("value", "idf", "year").agg(F.count("*").alias("m"))
+    later = held.select("value", F.col("year").alias("to"), F.col("m").alias("k"))
+    near = held.join(later, "value").where((F.col("to") >= F.col("year")) & (F.col("to") - F.col("year") <= YEAR_GAP[signal]))
+    n = near.select(F.lit(signal).alias("signal"), _linear_strength(signal, F.col("idf")).alias("strength"), F.expr("CASE WHEN to = year THEN m * (m - 1) div 2 ELSE m * k END").alias("n"))
+    return n.groupBy("signal", "strength").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def expected_overlap(attrs: DataFrame, total: int) -> DataFrame:
     """(entity, lam): sum over an entity's values of (n - 1) / max(1, N - 1)."""
     return attrs.groupBy("entity").agg(F.sum((F.col("n") - 1) / float(max(1, total - 1))).alias("lam"))
@@ -61,9 +94,8 @@ def expected_overlap(attrs: DataFrame, total: int) -> DataFrame:
 
 def linear_proposals(lists: DataFrame, field: str, signal: str) -> DataFrame:
     """(a, b, signal, strength, values): base + slope * idf of the rarest shared value, at most the ceiling."""
-    base, slope = LINEAR[signal]
     rare = F.element_at("idfs", 1)
-    return lists.where((F.col("field") == field) & (rare >= FLOOR.get(signal, 0.0))).select("a", "b", F.lit(signal).alias("signal"), F.round(F.least(F.lit(CEILING[signal]), base + slope * rare), 3).alias("strength"), "values")
+    return lists.where((F.col("field") == field) & (rare >= FLOOR.get(signal, 0.0))).select("a", "b", F.lit(signal).alias("signal"), _linear_strength(signal, rare).alias("strength"), "values")
 
 
 def era_proposals(lists: DataFrame, entities: DataFrame, field: str, signal: str) -> DataFrame:
@@ -77,8 +109,8 @@ def subject_proposals(lists: DataFrame) -> DataFrame:
     """.30 + .5 (I + .25 I2) over the two rarest values that pass the floor."""
     ok = F.filter("idfs", lambda x: x >= FLOOR["subject"])
     n = F.size(ok)
-    second = F.when(n > 1, F.try_element_at(ok, F.lit(2))).otherwise(0.0)
-    return lists.where(F.col("field") == "subject").where(n > 0).select("a", "b", F.lit("subject").alias("signal"), F.round(F.least(F.lit(CEILING["subject"]), 0.30 + 0.5 * (F.element_at(ok, 1) + 0.25 * second)), 3).alias("strength"), F.slice("values", 1, F.least(n, F.lit(2))).alias("values"))
+    first, second = (F.coalesce(F.try_element_at(ok, F.lit(k)), F.lit(0.0)) for k in (1, 2))
+    return lists.where(F.col("field") == "subject").where(n > 0).select("a", "b", F.lit("subject").alias("signal"), F.round(F.least(F.lit(CEILING["subject"]), 0.30 + 0.5 * (first + 0.25 * second)), 3).alias("strength"), F.slice("values", F.lit(1), F.least(n, F.lit(2))).alias("values"))
 
 
 def keyword_proposals(lists: DataFrame, overlap: DataFrame, least: int = 3) -> DataFrame:
@@ -227,13 +259,12 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def connected_components(entities: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(entity, component): the smallest entity reachable; lonely entities are their own."""
-    near = both_ways(edges.select("a", "b")).distinct().cache()
+    near = both_ways(edges.select("a", "b")).distinct().checkpoint()
     label = entities.select("entity", F.col("entity").alias("component"))
     for _ in range(max_rounds):
         low = near.join(label, F.col("v") == F.col("entity")).groupBy("u").agg(F.min("component").alias("low"))
         new = label.join(low, F.col("entity") == F.col("u"), "left").select("entity", F.col("component").alias("old"), F.least("component", "low").alias("component")).checkpoint()
         if new.where("old <> component").limit(1).count() == 0:
-            near.unpersist()
             return new.select("entity", "component")
         label = new.select("entity", "component")
     raise RuntimeError("components still change")

@@ -1,12 +1,13 @@
 """Dense retrieval, rank fusion and the measures that audit them.
 
-Queries are a stated, small set: each operator broadcasts them after checking
-their number against ``MAX_QUERIES``, and beyond that says so instead of
-broadcasting what may be large.
+Queries are a stated set: they are counted, and broadcast in blocks of about
+``MAX_QUERIES`` rows, so that what is broadcast doesn't grow with the data.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +28,12 @@ def euclid(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
-def stated(queries: DataFrame, most: int = MAX_QUERIES) -> DataFrame:
-    """The query set, marked for broadcast; raises where it is larger than a broadcast may be."""
-    n = queries.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} queries: search them in blocks")
-    return F.broadcast(queries)
+def query_blocks(queries: DataFrame, most: int = MAX_QUERIES) -> list[DataFrame]:
+    """The query set in blocks of about ``most`` rows, each marked for broadcast."""
+    n = -(-queries.count() // most)
+    if n <= 1:
+        return [F.broadcast(queries)]
+    return [F.broadcast(queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i)) for i in range(n)]
 
 
 def centroids(chunks: DataFrame, key: str, vector: str, eps: float = 1e-12) -> DataFrame:
@@ -43,10 +44,10 @@ def centroids(chunks: DataFrame, key: str, vector: str, eps: float = 1e-12) -> D
 
 
 def cosine_scores(queries: DataFrame, chunks: DataFrame, vector: str = "vector") -> DataFrame:
-    """(query, <chunk columns>, sim) of every query against every chunk: queries in one broadcast block."""
-    q = stated(queries.select("query", F.col(vector).alias("_q"), norm(F.col(vector)).alias("_nq")))
+    """(query, <chunk columns>, sim) of every query against every chunk: queries in broadcast blocks."""
     sim = dot(F.col(vector), F.col("_q")) / F.greatest(norm(F.col(vector)) * F.col("_nq"), F.lit(1e-12))
-    return chunks.join(q).withColumn("sim", sim).drop("_q", "_nq", vector)
+    blocks = query_blocks(queries.select("query", F.col(vector).alias("_q"), norm(F.col(vector)).alias("_nq")))
+    return reduce(DataFrame.unionByName, [chunks.join(q).withColumn("sim", sim).drop("_q", "_nq", vector) for q in blocks])
 
 
 def rollup(scores: DataFrame, key: str, how: str = "max") -> DataFrame:

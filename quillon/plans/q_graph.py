@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import audit as au
 from quillon.operators import graph as g
 from quillon.plans import analogue as an
 from quillon.plans.registry import query, table
@@ -32,10 +36,10 @@ def shared_values(spark, sf):
     return g.shared_values(_attrs(spark, sf)).groupBy("field", "value").agg(F.count("*").alias("pairs"))
 
 
-@query("shared_lists", "J02 K01", f"WITH {SHARED_SQL} SELECT a, b, array_to_string(list(value ORDER BY round(idf, 12) DESC, value), ',') AS vals FROM sh WHERE field = 'keyword' AND a % 20 = 0 GROUP BY a, b HAVING count(*) > 1")
+@query("shared_lists", "J02 K01", f"WITH {SHARED_SQL} SELECT a, b, array_to_string(list(value ORDER BY round(idf, 12) DESC, value), ',') AS vals FROM sh WHERE field = 'keyword' GROUP BY a, b HAVING count(*) > 1")
 def shared_lists(spark, sf):
     attrs = _attrs(spark, sf).where("field = 'keyword'").withColumn("idf", F.round("idf", 12))
-    lists = g.shared_lists(g.shared_values(attrs).where("a % 20 = 0")).where(F.size("values") > 1)
+    lists = g.shared_lists(g.shared_values(attrs)).where(F.size("values") > 1)
     return lists.select("a", "b", F.concat_ws(",", "values").alias("vals"))
 
 
@@ -44,14 +48,44 @@ LINEAR_SQL = "SELECT a, b, '{s}' AS signal, round(least({c}, {x} + {y} * max(idf
 
 @query("proposals_country", "J10 A02 T16", f"WITH {SHARED_SQL} SELECT signal, strength, count(*) AS n FROM ({LINEAR_SQL.format(s='genre', c=0.34, x=0.18, y=0.22, f='country', w='', fl=0.14)}) GROUP BY ALL")
 def proposals_country(spark, sf):
-    lists = g.shared_lists(g.shared_values(_attrs(spark, sf).where("field = 'country'")))
-    return g.linear_proposals(lists, "country", "genre").groupBy("signal", "strength").agg(F.count("*").alias("n"))
+    return g.linear_counts(_attrs(spark, sf), "country", "genre")
 
 
 @query("proposals_country_era", "J10", f"WITH {SHARED_SQL}, p AS (SELECT sh.* FROM sh JOIN entity x ON x.entity = a JOIN entity y ON y.entity = b WHERE abs(x.year - y.year) <= 9) SELECT signal, strength, count(*) AS n FROM (SELECT a, b, 'countryEra' AS signal, round(least(0.30, 0.16 + 0.20 * max(idf)), 3) AS strength FROM p WHERE field = 'country' GROUP BY a, b) GROUP BY ALL")
 def proposals_country_era(spark, sf):
-    lists = g.shared_lists(g.shared_values(_attrs(spark, sf).where("field = 'country'")))
-    return g.era_proposals(lists, an.entity(spark, sf), "country", "countryEra").groupBy("signal", "strength").agg(F.count("*").alias("n"))
+    return g.era_counts(_attrs(spark, sf), an.entity(spark, sf), "country", "countryEra")
+
+
+@query("country_pairs", "J10 J01", f"WITH {SHARED_SQL} SELECT a, b, round(least(0.34, 0.18 + 0.22 * max(idf)), 3) AS strength, any_value(value) AS brand FROM sh WHERE field = 'country' GROUP BY a, b HAVING max(idf) >= 0.14")
+def country_pairs(spark, sf):
+    """The pairs that proposals_country counts."""
+    lists = g.lists_over(_attrs(spark, sf).where("field = 'country'"), g.FLOOR["genre"])
+    return g.linear_proposals(lists, "country", "genre").select("a", "b", "strength", F.element_at("values", 1).alias("brand"))
+
+
+@query("setting_pairs", "J01 J02 A02", f"WITH {SHARED_SQL} SELECT strength, words, count(*) AS n FROM (SELECT a, b, round(least(0.64, 0.28 + 0.44 * max(idf)), 3) AS strength, count(*) AS words FROM sh WHERE field = 'keyword' GROUP BY a, b HAVING max(idf) >= 0.28) GROUP BY ALL")
+def setting_pairs(spark, sf):
+    """Pairs over the floor with all that they share, also values under it."""
+    lists = g.lists_over(_attrs(spark, sf).where("field = 'keyword'"), g.FLOOR["setting"])
+    return g.linear_proposals(lists, "keyword", "setting").groupBy("strength", F.size("values").cast("bigint").alias("words")).agg(F.count("*").alias("n"))
+
+
+SURPRISE_SQL = "CASE WHEN {l} <= 0 THEN 12.0 ELSE least(12.0, -log10(greatest(1e-300, 1 - (SELECT sum(exp(-{l}) * {l} ** i / gamma(i + 1)) FROM range(0, 25) t(i) WHERE i < {k})))) END"
+
+
+@query("keyword_pairs", "A04 A03 J02", f"WITH {SHARED_SQL}, lam AS (SELECT entity, sum((n - 1) / greatest(1.0, total - 1)) AS lam FROM av CROSS JOIN tot WHERE field = 'keyword' GROUP BY entity), p AS (SELECT a, b, count(*) AS k FROM sh WHERE field = 'keyword' GROUP BY a, b HAVING count(*) >= 3), q AS (SELECT k, (x.lam + y.lam) / 2 AS l FROM p JOIN lam x ON x.entity = a JOIN lam y ON y.entity = b) SELECT strength, count(*) AS n FROM (SELECT round(least(0.78, 0.40 + 0.34 * least(1.0, {SURPRISE_SQL.format(l='l', k='k')} / 6)), 3) AS strength FROM q) GROUP BY strength")
+def keyword_pairs(spark, sf):
+    """Pairs that share three words at least, by the Poisson surprise of it."""
+    attrs = _attrs(spark, sf).where("field = 'keyword'")
+    p = g.keyword_proposals(g.shared_lists(g.shared_values(attrs)), g.expected_overlap(attrs, an.entity(spark, sf).count()))
+    return p.groupBy("strength").agg(F.count("*").alias("n"))
+
+
+@query("subject_pairs", "A02 J02", f"WITH {SHARED_SQL}, s AS (SELECT a, b, list_sort(list(idf), 'DESC') AS i FROM sh WHERE field = 'keyword' AND idf >= 0.28 GROUP BY a, b) SELECT strength, count(*) AS n FROM (SELECT round(least(0.72, 0.30 + 0.5 * (i[1] + 0.25 * coalesce(i[2], 0))), 3) AS strength FROM s) GROUP BY strength")
+def subject_pairs(spark, sf):
+    """Words as subjects: the two rarest over the floor count."""
+    attrs = _attrs(spark, sf).where("field = 'keyword'").withColumn("field", F.lit("subject"))
+    return g.subject_proposals(g.lists_over(attrs, g.FLOOR["subject"])).groupBy("strength").agg(F.count("*").alias("n"))
 
 
 CREW_PAIRS_SQL = f"{an.CREW_SQL}, cp AS (SELECT x.entity AS a, y.entity AS b, x.person, CASE x.role WHEN 'A' THEN 0.62 WHEN 'N' THEN 0.58 ELSE 0.46 END AS w FROM crew x JOIN crew y ON x.role = y.role AND x.person = y.person AND x.entity < y.entity), cs AS (SELECT a, b, round(least(0.82, max(w) + 0.18 * (sum(w) - max(w))), 3) AS strength, count(DISTINCT person) AS people FROM cp GROUP BY a, b)"
@@ -77,10 +111,13 @@ def two_hop_join(spark, sf):
 
 
 def _proposals(spark, sf):
-    attrs = _attrs(spark, sf).where("field IN ('keyword', 'country')")
-    lists = g.shared_lists(g.shared_values(attrs))
+    attrs, total = _attrs(spark, sf), an.entity(spark, sf).count()
+    words = attrs.where("field = 'keyword'")
     crew = g.crew_proposals(an.crew(spark, sf), FLAGS)
-    return g.linear_proposals(lists, "country", "genre").unionByName(g.linear_proposals(lists, "keyword", "setting")).unionByName(crew)
+    same = g.linear_proposals(g.lists_over(attrs.where("field = 'country'"), g.FLOOR["genre"]), "country", "genre")
+    setting = g.linear_proposals(g.lists_over(words, g.FLOOR["setting"]), "keyword", "setting")
+    keyword = g.keyword_proposals(g.shared_lists(g.shared_values(words)), g.expected_overlap(words, total))
+    return same.unionByName(setting).unionByName(keyword).unionByName(crew)
 
 
 def _edges(spark, sf):
@@ -98,20 +135,39 @@ def also_signals(spark, sf):
     return g.runners_up(p, g.select_edges(p, an.entity(spark, sf))).select("pair", F.size("also").alias("n"))
 
 
-EDGE_SQL = "e AS (SELECT DISTINCT l_partkey AS a, 1000000 + l_suppkey AS b FROM lineitem WHERE l_quantity >= 49)"
+EDGE_SQL = "e AS (SELECT DISTINCT l_partkey AS a, 1000000 + l_suppkey AS b FROM lineitem)"
 
 
 def _bipartite(spark, sf):
-    return table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
 
 
-@query("components", "G01 A56", "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, 1000000 + l_orderkey AS b FROM lineitem WHERE l_quantity >= 48 AND l_linenumber = 1), n AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), r(u, root) AS (SELECT DISTINCT u, u FROM n UNION SELECT n.v, r.root FROM r JOIN n ON n.u = r.u) SELECT root AS component, count(*) AS n FROM (SELECT u, min(root) AS root FROM r GROUP BY u) GROUP BY root")
-def components(spark, sf):
+TREE_SQL = "e AS (SELECT CAST(1000 + n_nationkey AS BIGINT) AS a, CAST(n_regionkey AS BIGINT) AS b FROM nation UNION ALL SELECT 1000000000000 + c_custkey, 1000 + c_nationkey FROM customer UNION ALL SELECT 2000000000000 + s_suppkey, 1000 + s_nationkey FROM supplier)"
+
+
+def _tree(spark, sf):
+    """Customers and suppliers tied to nations, and these to regions."""
+    ends = (("nation", 1000, "n_nationkey", 0, "n_regionkey"), ("customer", 1000000000000, "c_custkey", 1000, "c_nationkey"), ("supplier", 2000000000000, "s_suppkey", 1000, "s_nationkey"))
+    return reduce(DataFrame.union, [table(spark, sf, t).select((F.col(a) + x).cast("bigint").alias("a"), (F.col(b) + y).cast("bigint").alias("b")) for t, x, a, y, b in ends])
+
+
+def _components(spark, edges):
     if spark.sparkContext.getCheckpointDir() is None:  # the warehouse is a folder that all executors share
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/quillon-checkpoints")
-    e = table(spark, sf, "lineitem").where("l_quantity >= 48 AND l_linenumber = 1").select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") + 1000000).alias("b")).distinct()
-    nodes = e.select(F.col("a").alias("entity")).union(e.select("b")).distinct()
-    return g.connected_components(nodes, e).groupBy("component").agg(F.count("*").alias("n"))
+    nodes = edges.select(F.col("a").alias("entity")).union(edges.select("b")).distinct()
+    return au.component_sizes(g.connected_components(nodes, edges))
+
+
+@query("components", "G01 A56", f"WITH RECURSIVE {TREE_SQL}, n AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), r(u, root) AS (SELECT DISTINCT u, u FROM n UNION SELECT n.v, r.root FROM r JOIN n ON n.u = r.u) SELECT root AS component, count(*) AS n FROM (SELECT u, min(root) AS root FROM r GROUP BY u) GROUP BY root")
+def components(spark, sf):
+    return _components(spark, _tree(spark, sf))
+
+
+@query("line_components", "G01 A56", "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, 1000000000000 + l_orderkey AS b FROM lineitem), n AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), r(u) AS (SELECT min(a) FROM e UNION SELECT n.v FROM r JOIN n ON n.u = r.u) SELECT min(u) AS component, count(*) AS n FROM r")
+def line_components(spark, sf):
+    """The component of the first part, among parts and orders tied by all order lines."""
+    e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") + 1000000000000).alias("b")).distinct()
+    return _components(spark, e).orderBy("component").limit(1)
 
 
 @query("degrees", "A56", f"WITH {EDGE_SQL}, d AS (SELECT a AS entity FROM e UNION ALL SELECT b FROM e) SELECT entity, count(*) AS degree FROM d GROUP BY entity")

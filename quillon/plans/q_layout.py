@@ -10,7 +10,7 @@ from quillon.plans.registry import query, table
 from quillon.sources import readers as rd
 
 POINT_SQL = "pts AS (SELECT s_suppkey AS entity, (s_suppkey * 37 % 101) / 101.0 AS x, (s_suppkey * 53 % 97) / 97.0 AS y FROM supplier)"
-EDGE_SQL = "ed AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b, (l_suppkey % 10 + 1) / 10.0 AS strength FROM lineitem WHERE l_quantity >= 49 AND l_suppkey < l_partkey % 100)"
+EDGE_SQL = "ed AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b, (l_suppkey % 10 + 1) / 10.0 AS strength FROM lineitem WHERE l_suppkey < l_partkey % 100)"
 
 
 def _points(spark, sf):
@@ -18,7 +18,7 @@ def _points(spark, sf):
 
 
 def _edges(spark, sf):
-    x = table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b"))
+    x = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b"))
     return x.where("a < b").distinct().withColumn("strength", (F.col("a") % 10 + 1) / 10.0)
 
 

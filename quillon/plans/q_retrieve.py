@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from quillon.operators import retrieve as r
 from quillon.plans.registry import query, table
 
-QUERY_IDS = (3, 77, 151)
+ASKED = "vec_id % 100 = 0"  # the stated query set
 SIM = "list_sum(list_transform(range(1, len(c.embedding) + 1), lambda i: c.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)) / greatest(1e-12, sqrt(list_sum(list_transform(c.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))))"
-SIM_SQL = f"sim AS (SELECT q.vec_id AS query, c.vec_id AS chunk, c.label, {SIM} AS sim FROM embeddings c CROSS JOIN embeddings q WHERE q.vec_id IN (3, 77, 151))"
+SIM_SQL = f"sim AS (SELECT q.vec_id AS query, c.vec_id AS chunk, c.label, {SIM} AS sim FROM embeddings c CROSS JOIN embeddings q WHERE q.vec_id % 100 = 0)"
 
 
 def _sims(spark, sf):
     e = table(spark, sf, "embeddings")
-    q = e.where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    q = e.where(ASKED).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     return r.cosine_scores(q, e.select(F.col("vec_id").alias("chunk"), "label", F.col("embedding").alias("vector")))
 
 
@@ -102,11 +102,11 @@ def mean_blend(spark, sf):
     return r.mean_blend(_pct(a, n), _pct(b, n), "chunk").select("query", "chunk", F.round("score", 9).alias("score"))
 
 
-@query("blend_by_reading", "Q17", f"WITH {PCT_SQL} SELECT query, chunk, round(s * pa + (1 - s) * pb, 9) AS score FROM p JOIN (VALUES (3, 0.75), (77, 0.5), (151, 1.0)) v(query, s) USING (query)")
+@query("blend_by_reading", "Q17", f"WITH {PCT_SQL} SELECT query, chunk, round(s * pa + (1 - s) * pb, 9) AS score FROM p JOIN (SELECT DISTINCT vec_id AS query, 1 - (vec_id // 100 % 4) / 4.0 AS s FROM embeddings) v USING (query)")
 def blend_by_reading(spark, sf):
     _, a, b = _two(spark, sf)
     n = table(spark, sf, "embeddings").count()
-    unread = spark.createDataFrame([(3, 4, 1), (77, 2, 1), (151, 3, 0)], "query bigint, words int, unread int")
+    unread = table(spark, sf, "embeddings").where(ASKED).select(F.col("vec_id").alias("query"), F.lit(4).alias("words"), F.expr("vec_id div 100 % 4").cast("int").alias("unread"))
     return r.blend_by_reading(_pct(a, n), _pct(b, n), "chunk", r.read_fraction(unread)).select("query", "chunk", F.round("score", 9).alias("score"))
 
 
@@ -139,7 +139,7 @@ def rank_displacement(spark, sf):
 @query("neighbours", "Q15 J15", f"WITH {SIM_SQL}, k AS (SELECT query, chunk, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, chunk) AS rank FROM sim WHERE query <> chunk) SELECT query, chunk AS vec_id, rank FROM k WHERE rank <= 5")
 def neighbours(spark, sf):
     e = table(spark, sf, "embeddings")
-    return r.neighbours(e, "vec_id", "embedding", e.where(F.col("vec_id").isin(*QUERY_IDS)), 5).select("query", "vec_id", "rank")
+    return r.neighbours(e, "vec_id", "embedding", e.where(ASKED), 5).select("query", "vec_id", "rank")
 
 
 @query("weighted_rating", "A17 S07", "WITH v AS (SELECT l_partkey AS p, count(*) AS v, avg(l_quantity) AS r FROM lineitem GROUP BY l_partkey), c AS (SELECT avg(r) AS c FROM v) SELECT p, round(v / (v + 30.0) * r + 30.0 / (v + 30.0) * c, 2) AS score FROM v CROSS JOIN c")

@@ -101,9 +101,9 @@ def turn_overlap(spark, sf):
     return w.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(tx.word_overlap(F.col("w"), F.col("next")), 6).alias("overlap"))
 
 
-@query("cue_flags", "T20", "SELECT doc_id, regexp_matches(text, '[a-z,;] [A-Z][a-z]+') AS proper, regexp_matches(text, '(?i)\\b(no|not|never|without|nor|neither|isn''t|don''t|doesn''t|nothing)\\b') AS negated FROM documents WHERE lang = 'en'")
+@query("cue_flags", "T20", "SELECT doc_id, regexp_matches(text, '[a-z,;] [A-Z][a-z]+') AS proper, regexp_matches(text, '(?i)\\b(no|not|never|without|nor|neither|isn''t|don''t|doesn''t|nothing)\\b') AS negated FROM documents")
 def cue_flags(spark, sf):
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", tx.has_proper_noun(F.col("text")).alias("proper"), tx.has_negation(F.col("text")).alias("negated"))
+    return table(spark, sf, "documents").select("doc_id", tx.has_proper_noun(F.col("text")).alias("proper"), tx.has_negation(F.col("text")).alias("negated"))
 
 
 @query("encoded_words", "T18 T19")

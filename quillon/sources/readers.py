@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quillon.operators.facets import row_numbers
+
 
 def read_json_document(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """One JSON document a file, with a stated schema."""
@@ -91,8 +93,8 @@ def extend(known: DataFrame, fresh: DataFrame, key: str, columns: list[str]) ->
 
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:
     """(batch, keys): requests of ``size`` keys."""
-    i = F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size)
-    return df.select(key).distinct().withColumn("batch", i).groupBy("batch").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+    numbered = row_numbers(df.select(key).distinct(), key).withColumn("batch", F.floor(F.col("row") / size))
+    return numbered.groupBy("batch").agg(F.array_sort(F.collect_list(key)).alias("keys"))
 
 
 def follow_redirects(names: DataFrame, redirects: DataFrame, hops: int = 5) -> DataFrame:
