@@ -5,9 +5,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters that have no decomposition, and stop words of the normalisers.
@@ -166,6 +167,58 @@ def html_text(c: Column, open_mark: str = "⟦", close_mark: str = "⟧") -> Col
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
+class _Plain(HTMLParser):
+    """The text of HTML by the standard parser, independent of :func:`html_text`."""
+
+    REFERENCES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "amp": "&"}
+
+    def __init__(self, open_mark: str, close_mark: str):
+        super().__init__(convert_charrefs=False)
+        self.marks, self.out, self.silent = (open_mark, close_mark), [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.silent += tag in ("script", "style")
+        self.out.append(self.marks[0] if tag in ("i", "em") else " ")
+
+    def handle_endtag(self, tag):
+        self.silent -= tag in ("script", "style") and self.silent > 0
+        self.out.append(self.marks[1] if tag in ("i", "em") else " ")
+
+    def handle_data(self, data):
+        if not self.silent:
+            self.out.append(data)
+
+    def handle_entityref(self, name):
+        self.handle_data(self.REFERENCES.get(name, f"&{name};"))
+
+    def handle_charref(self, name):
+        self.handle_data("'" if name == "39" else f"&#{name};")
+
+
+def parsed_text(source: str | None, open_mark: str = "⟦", close_mark: str = "⟧") -> str | None:
+    if source is None:
+        return None
+    p = _Plain(open_mark, close_mark)
+    p.feed(source)
+    p.close()
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", "".join(p.out)).strip(" ")
+
+
+def stripper_lengths(pages: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, a, b): characters of each page's text by the chain of patterns and by a parser; where they differ, one of the two reads the page wrongly."""
+    from quillon.functions import text
+
+    parsed = F.pandas_udf(lambda s: s.map(text.parsed_text), "string")
+    return pages.select(key, F.length(html_text(F.col(column))).alias("a"), F.length(parsed(F.col(column))).alias("b"))
+
+
+def focus(texts: DataFrame, key: str, column: str, letters: int = 4, least: int = 20) -> DataFrame:
+    """(key, word, n): the word of ``letters`` at least that a text comes back to most, where that is ``least`` times; ties by word."""
+    words = texts.select(key, F.explode(F.filter(F.split(column, " "), lambda w: F.length(w) >= letters)).alias("word"))
+    n = words.groupBy(key, "word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return n.groupBy(key).agg(F.min_by(F.struct("word", "n"), F.struct((-F.col("n")).alias("d"), "word")).alias("x")).select(key, "x.*")
+
+
 def sentence_list(c: Column) -> Column:
     """Sentences: split behind . ! ? and before white space."""
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")

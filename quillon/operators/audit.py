@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,6 +46,31 @@ def greedy_clusters(phrases: list[tuple[str, int]], threshold: float) -> dict[st
     return out
 
 
+def leader_clusters(phrases: DataFrame, threshold: float) -> DataFrame:
+    """(phrase, leader), as :func:`greedy_clusters` finds them, from (phrase, n), without gathering the phrases.
+
+    Phrases that share a word are compared; of a pair, the more frequent one
+    comes first.  A phrase leads if none that comes before it and is alike leads;
+    each round settles those whose earlier likes are all settled, or one of
+    which leads.  Rounds end, as the first unsettled phrase is settled by each.
+    """
+    words = phrases.withColumn("w", F.array_distinct(F.filter(F.split("phrase", r"\s+"), lambda w: w != "")))
+    one = words.select("phrase", "n", F.size("w").alias("k"), F.explode("w").alias("w"))
+    two = one.select(F.col("phrase").alias("before"), F.col("n").alias("m"), F.col("k").alias("j"), "w")
+    first = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("before") < F.col("phrase")))
+    common = one.join(two, "w").where(first).groupBy("phrase", "k", "before", "m", "j").agg(F.count("*").alias("c"))
+    alike = common.where(F.col("c") >= threshold * (F.col("k") + F.col("j") - F.col("c")) - 1e-12).select("phrase", "before", "m").checkpoint()
+    state = phrases.select("phrase", F.lit(None).cast("boolean").alias("leads")).checkpoint()
+    while not state.where("leads IS NULL").isEmpty():
+        known = alike.join(state.select(F.col("phrase").alias("before"), "leads"), "before")
+        seen = known.groupBy("phrase").agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("led"), F.bool_or(F.col("leads").isNull()).alias("open"))
+        settled = F.when(F.col("led").isNull(), True).when(F.col("led"), False).when(~F.col("open"), True)
+        state = state.join(seen, "phrase", "left").select("phrase", F.coalesce("leads", settled).alias("leads")).checkpoint()
+    heads = alike.join(state.where("leads").select(F.col("phrase").alias("before")), "before")
+    chosen = heads.groupBy("phrase").agg(F.min_by("before", F.struct((-F.col("m")).alias("d"), "before")).alias("leader"))
+    return state.join(chosen, "phrase", "left").select("phrase", F.when(F.col("leads"), F.col("phrase")).otherwise(F.col("leader")).alias("leader"))
+
+
 def predicate_pairs(tags: DataFrame) -> DataFrame:
     """(a, b, predicate, ca, cb, oa, ob) of entities that share a predicate."""
     a = tags.select(F.col("entity").alias("a"), "predicate", F.col("centrality").alias("ca"), F.col("outcome").alias("oa"))
@@ -233,6 +257,12 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, size: int, floor:
     return rows.withColumn("_i", order).join(F.broadcast(seats.withColumnRenamed("stratum", stratum)), stratum).where("_i <= seats").drop("_i", "seats")
 
 
+def cohort_candidates(rows: DataFrame, size: int, key: str, margins: list[str]) -> DataFrame:
+    """The first ``size`` rows, by key as text, of each combination of margins: a cohort of that size takes no others, as rows of one combination differ by key alone."""
+    place = F.row_number().over(Window.partitionBy(*margins).orderBy(F.col(key).cast("string")))
+    return rows.withColumn("_i", place).where(F.col("_i") <= size).drop("_i")
+
+
 def deficit_cohort(rows: list[dict], margins: dict[str, dict[str, int]], size: int, cap: tuple[str, int]) -> list:
     """Greedy cohort: each step takes the row that fills most of the open margins, under a cap a hand; ties by key."""
     have = {m: Counter() for m in margins}
@@ -255,17 +285,12 @@ def surface_partition(rows: DataFrame, order: list[Column], top: int, writers: i
     return x.withColumn("writer", (F.col("i") % writers).cast("int"))
 
 
-def decoys(items: list[str], labels: dict[str, str], every: int = 3, seed: int = 5) -> list[tuple[str, str, bool]]:
-    """(item, label, real): a seeded order in which every third item gets another item's label."""
-    rng = random.Random(seed)
-    order = sorted(items)
-    rng.shuffle(order)
-    out = []
-    for i, item in enumerate(order):
-        others = sorted({v for v in labels.values() if v != labels[item]})
-        fake = i % every == every - 1 and bool(others)
-        out.append((item, rng.choice(others) if fake else labels[item], not fake))
-    return out
+def decoys(items: DataFrame, every: int = 3, salt: str = "decoy") -> DataFrame:
+    """(item, shown, real): items in a salted order, in which every third shows another's label, if that differs; from (item, label)."""
+    x = derangement(items.withColumn("o", F.struct(F.sha1(F.concat_ws("|", F.lit(salt), "item").cast("binary")).alias("h"), "item")), "o")
+    other = x.select(F.col("i").alias("j"), F.col("label").alias("other"))
+    fake = (F.col("i") % every == every - 1) & (F.col("other") != F.col("label"))
+    return x.join(other, "j").select("item", F.when(fake, F.col("other")).otherwise(F.col("label")).alias("shown"), (~fake).alias("real"))
 
 
 def decoy_verdict(real_rate: float, decoy_rate: float) -> str:

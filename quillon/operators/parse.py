@@ -3,8 +3,9 @@
 A sentence is read from left to right: a pointer at a known work (cue, then
 title, longest first), then a guarded phrase, then a lexicon phrase, longest
 first.  Negation looks back at most four words and degree three, never over a
-clause wall or over words that another reading has used.  What nothing read is
-kept as spans with a reason.
+clause wall or over words that another reading has used.  A family's name right
+behind a reading of that family ("a hopeful tone") belongs to it.  What nothing
+read is kept as spans with a reason.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from quillon.functions import text as tx
 NEGATION_WINDOW, DEGREE_WINDOW = 4, 3
 UP, DOWN = 1.5, 0.6
 ARTICLES = ("the", "a", "an")
+# The names of attribute families that a reader may add behind a phrase.
+NAMESPACES = ("pace", "tone", "mood", "subject", "story", "texture", "structure", "setting", "mode")
 
 
 @dataclass
@@ -35,9 +38,10 @@ class Lexicon:
     cues: list[tuple[str, str | None]] = field(default_factory=list)  # cue words, group of attributes
     groups: dict[str, list[str]] = field(default_factory=dict)
     neighbours: dict[str, list[str]] = field(default_factory=dict)
+    namespaces: set[str] = field(default_factory=lambda: set(NAMESPACES))
 
     @classmethod
-    def build(cls, phrases: dict[str, list], negation, up, down, stop, guards=(), cues=(), groups=None, neighbours=None) -> Lexicon:
+    def build(cls, phrases: dict[str, list], negation, up, down, stop, guards=(), cues=(), groups=None, neighbours=None, namespaces=None) -> Lexicon:
         """Fold all keys; a phrase that holds a negator of its own is ``inherent``: it says an absence by itself."""
         neg = {tx.fold_text(x) for x in negation}
         table: dict[str, list[tuple[str, str]]] = {}
@@ -48,7 +52,7 @@ class Lexicon:
                 if set(key.split()) & neg:
                     polarity = "inherent"
                 table.setdefault(key, []).append((attr, polarity))
-        return cls(table, neg, {tx.fold_text(x) for x in up}, {tx.fold_text(x) for x in down}, {tx.fold_text(x) for x in stop}, {tx.fold_text(p): (why, kind) for p, why, kind in guards}, sorted(((tx.fold_text(c), g) for c, g in cues), key=lambda c: -len(c[0].split())), groups or {}, neighbours or {})
+        return cls(table, neg, {tx.fold_text(x) for x in up}, {tx.fold_text(x) for x in down}, {tx.fold_text(x) for x in stop}, {tx.fold_text(p): (why, kind) for p, why, kind in guards}, sorted(((tx.fold_text(c), g) for c, g in cues), key=lambda c: -len(c[0].split())), groups or {}, neighbours or {}, set(namespaces or NAMESPACES))
 
 
 def distinctive(sigma: dict[str, tuple[float, float]], attrs: list[str] | None, most: int) -> list[tuple[str, float, float]]:
@@ -85,27 +89,30 @@ class Sentence:
         i = 0
         while i < len(self.words):
             i = self._work(i) or self._guard(i) or self._phrase(i) or i + 1
+        for reading in self.readings:
+            self._family_name(reading)
         self._leftovers()
 
     def _span(self, i: int, j: int) -> dict:
         start, end = self.tokens[i][1], self.tokens[j - 1][2]
         return {"text": self.text[start:end], "start": start, "end": end}
 
-    def _modifiers(self, i: int) -> tuple[bool, float, int]:
-        negate, weight, first = False, 1.0, i
+    def _modifiers(self, i: int) -> tuple[str | None, float, int, str | None]:
+        """The negator's and the degree's words, the weight, and where all of them begin."""
+        negate, weight, first, degree = None, 1.0, i, None
         for back in range(1, max(NEGATION_WINDOW, DEGREE_WINDOW) + 1):
             p = i - back
             if p < 0 or p + 1 in self.walls or self.used[p]:
                 break
             one, two = self.words[p], " ".join(self.words[max(0, p - 1) : p + 1])
             if back <= NEGATION_WINDOW and one in self.lex.negation and not negate:
-                negate, first = True, min(first, p)
+                negate, first = one, min(first, p)
             if back <= DEGREE_WINDOW and weight == 1.0:
                 for value, words in ((UP, self.lex.up), (DOWN, self.lex.down)):
                     if one in words or p and two in words:
-                        weight, first = value, min(first, p if one in words else p - 1)
+                        weight, first, degree = value, min(first, p if one in words else p - 1), one if one in words else two
                         break
-        return negate, weight, first
+        return negate, weight, first, degree
 
     def _work(self, i: int) -> int | None:
         for cue, group in self.lex.cues:
@@ -132,13 +139,23 @@ class Sentence:
         else:
             picked = distinctive(held, None, self.like_terms)
         self.used[i:j] = [True] * (j - i)
-        negate, weight, _ = self._modifiers(i)
+        negate, weight, _, degree = self._modifiers(i)
         if not picked:
             self.unread.append({**self._span(i, j), "why": "no reading of this work", "kind": "work-unread"})
         for attr, strength, _ in picked:
-            self.readings.append({"kind": "work", **self._span(i, j), "terms": [attr], "negate": negate, "weight": round(strength * weight, 2), "work": key, "widened": widened})
+            self.readings.append({"kind": "work", **self._span(i, j), "terms": [attr], "negate": bool(negate), "refused": None, "degree": degree, "weight": round(strength * weight, 2), "work": key, "widened": widened})
         return j
 
+    def _family_name(self, reading: dict) -> None:
+        families = {attr.split(":")[0] for attr in reading["terms"]}
+        for k, (word, start, end) in enumerate(self.tokens):
+            if start < reading["end"]:
+                continue
+            if self.used[k] or word not in self.lex.namespaces or word not in families:
+                break
+            self.used[k] = True
+            reading.update(end=end, text=self.text[reading["start"] : end])
+
     def _guard(self, i: int) -> int | None:
         longest = max((len(g.split()) for g in self.lex.guards), default=0)
         for size in range(min(longest, len(self.words) - i), 0, -1):
@@ -157,10 +174,10 @@ class Sentence:
             if not row and size == 1 and len(phrase) > 3 and phrase.endswith("s"):
                 row = self.lex.phrases.get(phrase[:-1])
             if row:
-                negate, weight, first = self._modifiers(i)
+                negate, weight, first, degree = self._modifiers(i)
                 inherent = any(p == "inherent" for _, p in row)
                 self.used[first : i + size] = [True] * (i + size - first)
-                self.readings.append({"kind": "phrase", **self._span(first, i + size), "terms": [a for a, _ in row], "negate": negate and not inherent, "weight": weight, "work": None, "widened": False})
+                self.readings.append({"kind": "phrase", **self._span(first, i + size), "terms": [a for a, _ in row], "negate": bool(negate) and not inherent, "refused": negate if inherent else None, "degree": degree, "weight": weight, "work": None, "widened": False})
                 return i + size
         return None
 
@@ -193,7 +210,7 @@ class Sentence:
         return list(out.values()), conflicts
 
 
-READING = "struct<readings:array<struct<kind:string,text:string,start:int,end:int,terms:array<string>,negate:boolean,weight:double>>,unread:array<struct<text:string,start:int,end:int,why:string,kind:string>>,clauses:array<struct<any_of:array<string>,weight:double,negate:boolean,said:string>>,conflicts:array<struct<terms:array<string>,text:string,against:string>>>"
+READING = "struct<readings:array<struct<kind:string,text:string,start:int,end:int,terms:array<string>,negate:boolean,refused:string,degree:string,weight:double>>,unread:array<struct<text:string,start:int,end:int,why:string,kind:string>>,clauses:array<struct<any_of:array<string>,weight:double,negate:boolean,said:string>>,conflicts:array<struct<terms:array<string>,text:string,against:string>>>"
 
 
 def parse_sentences(df: DataFrame, column: str, lexicon: Lexicon, works: Works | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import stats as st
+from quillon.operators.facets import row_numbers
 
 MAX_QUERIES = 10_000
 
@@ -56,6 +57,18 @@ def rollup(scores: DataFrame, key: str, how: str = "max") -> DataFrame:
     return scores.groupBy("query", key).agg(agg.alias("score"), F.max_by("chunk", F.struct("sim", -F.col("chunk"))).alias("best_chunk"))
 
 
+def composed(scores: DataFrame, key: str) -> DataFrame:
+    """(pair, key, score): likeness to all works of a choice at once, the geometric mean of what is above 0; unlike one is unlike all."""
+    return scores.groupBy("pair", key).agg(F.pow(F.product(F.greatest("sim", F.lit(0.0))), 1.0 / F.count("*")).alias("score"))
+
+
+def length_batches(texts: DataFrame, key: str, column: str, size: int) -> DataFrame:
+    """(key, n, batch, padded): texts in batches of like length, and the length that each is padded to in its batch."""
+    rows = texts.select(F.struct(F.coalesce(F.length(column), F.lit(0)).alias("n"), F.col(key)).alias("o"))
+    dealt = row_numbers(rows, "o").select(f"o.{key}", "o.n", F.floor(F.col("row") / size).alias("batch"))
+    return dealt.join(dealt.groupBy("batch").agg(F.max("n").alias("padded")), "batch").select(key, "n", "batch", "padded")
+
+
 def rank_of(scores: DataFrame, key: str, digits: int = 9) -> DataFrame:
     """Scores with their rank within the query, ties by key."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", digits)), key)))

@@ -151,3 +151,9 @@ def verified_match(a_title: Column, b_title: Column, a_year: Column, b_year: Col
     same = a_title == b_title
     gap = F.abs(a_year - b_year)
     return F.when(same & (gap == 0), "exact").when(same & (gap <= 1), "near").when(same & gap.isNull(), "title")
+
+
+def apply_changes(log: DataFrame, key: str, order: str, op: str = "op") -> DataFrame:
+    """The rows that stand after a log of numbered changes: the last of each key, unless it deletes."""
+    last = log.groupBy(key).agg(F.max_by(F.struct(*[c for c in log.columns if c != key]), order).alias("x")).select(key, "x.*")
+    return last.where(F.col(op) != "delete").drop(op)

@@ -8,7 +8,8 @@ from quillon.operators import audit as au
 from quillon.operators import graph as g
 from quillon.operators import validate as va
 from quillon.plans import analogue as an
-from quillon.plans.registry import query, table
+from quillon.plans.registry import query, shared_checkpoints, table
+from quillon.sources import readers as rd
 
 TAG_SQL = "tags AS (SELECT doc_id AS entity, source AS predicate, CASE lang WHEN 'en' THEN 'lead' WHEN 'fr' THEN 'side' ELSE 'odd' END AS role, round(least(1.0, n_chars / 4000.0), 2) AS centrality, CASE doc_id % 3 WHEN 0 THEN 'won' WHEN 1 THEN 'lost' ELSE 'open' END AS outcome, substring(text, 1, CAST(doc_id % 40 AS INT)) AS basis, doc_id AS ordinal FROM documents)"
 
@@ -120,9 +121,9 @@ def collapse_ratio(spark, sf):
 
 @query("greedy_clusters", "A24")
 def greedy_clusters(spark, sf):
-    """Part names clustered around their most frequent leaders; the vocabulary of names is small by nature."""
-    n = [(r["p_name"], r["n"]) for r in table(spark, sf, "part").groupBy("p_name").agg(F.count("*").alias("n")).collect()]
-    return spark.createDataFrame(sorted(au.greedy_clusters(n, 0.3).items()), "phrase string, leader string")
+    """Part names clustered around their most frequent leaders."""
+    shared_checkpoints(spark)
+    return au.leader_clusters(table(spark, sf, "part").groupBy(F.col("p_name").alias("phrase")).agg(F.count("*").alias("n")), 0.3)
 
 
 SPARSE_SQL = "t AS (SELECT DISTINCT l_partkey AS entity, o_custkey AS predicate, l_partkey % 4 AS shard, 1916 + 2 * (l_partkey % 50) AS year FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
@@ -281,14 +282,15 @@ def seat_allocation(spark, sf):
     return au.seat_allocation(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("stratum")), 37)
 
 
-@query("stratified_sample", "K10 K06")
+@query("stratified_sample", "K10 K06", "WITH s AS (SELECT c_mktsegment AS stratum, count(*) AS n FROM customer GROUP BY 1), x AS (SELECT stratum, n * 40.0 / sum(n) OVER () AS e FROM s), y AS (SELECT stratum, floor(e) AS b, row_number() OVER (ORDER BY round(e - floor(e), 12) DESC, stratum) AS rn, 40 - sum(floor(e)) OVER () AS l FROM x), z AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha1('s|' || c_custkey)) AS i FROM customer) SELECT c_custkey, c_mktsegment FROM z JOIN y ON stratum = c_mktsegment WHERE i <= greatest(2, b + CASE WHEN rn <= l THEN 1 ELSE 0 END)")
 def stratified_sample(spark, sf):
     return au.stratified_sample(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 40)
 
 
 @query("deficit_cohort", "K12")
 def deficit_cohort(spark, sf):
-    rows = [{"key": r["s_suppkey"], "nation": r["s_nationkey"], "size": int(r["s_acctbal"] > 5000)} for r in table(spark, sf, "supplier").collect()]
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") > 5000).cast("int").alias("size"))
+    rows = [r.asDict() for r in au.cohort_candidates(s, 30, "key", ["nation", "size"]).collect()]  # 30 rows of each of 50 combinations at most
     got = au.deficit_cohort(rows, {"nation": {n: 1 for n in range(25)}, "size": {0: 15, 1: 15}}, 30, ("nation", 4))
     return spark.createDataFrame([(int(k),) for k in got], "s_suppkey bigint")
 
@@ -298,11 +300,9 @@ def surface_partition(spark, sf):
     return au.surface_partition(table(spark, sf, "supplier"), [F.desc("s_acctbal"), F.col("s_suppkey")], 33, 4).select("s_suppkey", "writer")
 
 
-@query("decoy_audit", "Z12")
+@query("decoy_audit", "Z12", "WITH x AS (SELECT p_name AS item, min(p_type) AS label FROM part GROUP BY p_name), y AS (SELECT *, row_number() OVER (ORDER BY sha1('decoy|' || item), item) - 1 AS i, count(*) OVER () AS n FROM x) SELECT a.item, CASE WHEN a.i % 3 = 2 THEN b.label ELSE a.label END AS shown, NOT (a.i % 3 = 2 AND a.label <> b.label) AS real FROM y a JOIN y b ON b.i = (a.i + 1 + a.i % 7) % a.n")
 def decoy_audit(spark, sf):
-    labels = {r["p_name"]: r["p_type"] for r in table(spark, sf, "part").groupBy("p_name").agg(F.min("p_type").alias("p_type")).collect()}
-    rows = au.decoys(sorted(labels), labels)
-    return spark.createDataFrame([(sum(r[2] for r in rows), sum(not r[2] for r in rows), au.decoy_verdict(0.9, 0.1))], "real int, decoys int, verdict string")
+    return au.decoys(table(spark, sf, "part").groupBy(F.col("p_name").alias("item")).agg(F.min("p_type").alias("label")))
 
 
 @query("folded_labels", "Z14", "SELECT CASE WHEN p_type IN ('SMALL', 'ECONOMY') THEN 'LITTLE' ELSE p_type END AS label, array_to_string(list(DISTINCT p_type ORDER BY p_type), ',') AS absorbed FROM part GROUP BY 1")
@@ -319,9 +319,7 @@ def assigned_known(spark, sf):
 
 @query("shard_batches", "Z10", "SELECT s_suppkey, CAST(floor((row_number() OVER (ORDER BY s_suppkey) - 1) / 6) AS BIGINT) AS batch FROM supplier")
 def shard_batches(spark, sf):
-    from pyspark.sql import Window
-
-    return table(spark, sf, "supplier").select("s_suppkey", F.floor((F.row_number().over(Window.orderBy("s_suppkey")) - 1) / 6).alias("batch"))
+    return rd.stamped_batches(table(spark, sf, "supplier"), "s_suppkey", 6)
 
 
 @query("candidate_expansion", "J24 J25", f"WITH {an.CREW_SQL}, i AS (SELECT entity AS own, person FROM crew WHERE entity < 20), o AS (SELECT entity, person, role FROM crew WHERE entity >= 20) SELECT entity AS candidate, round(sum(n * CASE role WHEN 'A' THEN 2.0 ELSE 1.0 END), 6) AS score FROM (SELECT entity, o.person, role, count(DISTINCT own) AS n FROM o JOIN i USING (person) GROUP BY ALL) GROUP BY entity")

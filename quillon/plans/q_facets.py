@@ -121,9 +121,9 @@ def lookup_stages(spark, sf):
     return fc.lookup_stages(table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("entity")), "red")
 
 
-@query("title_suggestions", "Q20 K09")
+@query("title_suggestions", "Q20 K09", "WITH x AS (SELECT p_name AS name, p_partkey AS entity, CASE WHEN starts_with(p_name, 'red') THEN 0 ELSE 1 END AS late FROM part WHERE contains(p_name, 'red')), y AS (SELECT *, row_number() OVER (PARTITION BY late ORDER BY name, entity) AS i FROM x) SELECT name, entity FROM y WHERE late = 1 OR i <= 4 ORDER BY late, i LIMIT 6")
 def title_suggestions(spark, sf):
-    return fc.suggestions(table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("entity")), "ring")
+    return fc.suggestions(table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("entity")), "red")
 
 
 @query("register_members", "F10", """SELECT p_partkey FROM part WHERE (p_type IN ('ECONOMY', 'SMALL') AND p_brand IN ('Brand#2', 'Brand#4') AND list_has_any(string_split(p_name, ' '), ['red', 'blue'])) OR p_size IN (7)""")
@@ -152,9 +152,10 @@ def packed_attributes(spark, sf):
     return back.groupBy("entity").agg(pick("quality").alias("q"), pick("toxic").alias("t"))
 
 
-@query("quantised_coordinates", "S23", "SELECT p_partkey, CAST(floor(least(1.0, greatest(0.0, p_size / 40.0 - 0.1)) * 65535 + 0.5) AS INT) AS q FROM part")
+@query("quantised_coordinates", "S23", "SELECT p_partkey, CAST(floor(least(1.0, greatest(0.0, p_size / 40.0 - 0.1)) * 65535 + 0.5) AS INT) AS q, round(floor(least(1.0, greatest(0.0, p_size / 40.0 - 0.1)) * 65535 + 0.5) / 65535.0, 9) AS back FROM part")
 def quantised_coordinates(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", cd.quantise16(F.col("p_size") / 40.0 - 0.1).alias("q"))
+    q = cd.quantise16(F.col("p_size") / 40.0 - 0.1)
+    return table(spark, sf, "part").select("p_partkey", q.alias("q"), F.round(cd.dequantise16(q), 9).alias("back"))
 
 
 @query("quantised_vectors", "S24 M07", "WITH s AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) / 127.0 AS s FROM embeddings) SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: floor(x::DOUBLE / s + 0.5))) AS BIGINT) AS total, round(s, 9) AS scale FROM s")

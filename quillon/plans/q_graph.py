@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import audit as au
 from quillon.operators import graph as g
 from quillon.plans import analogue as an
-from quillon.plans.registry import query, table
+from quillon.plans.q_stats import FNV_SQL
+from quillon.plans.registry import query, shared_checkpoints, table
 
 IDF_SQL = f"{an.ATTR_SQL}, {an.ENTITY_SQL}, tot AS (SELECT CAST(count(*) AS DOUBLE) AS total FROM part), freq AS (SELECT field, value, count(DISTINCT entity) AS n FROM entity_attr GROUP BY field, value), av AS (SELECT a.*, f.n, CASE WHEN total <= 1 THEN 0 ELSE least(1.0, ln(total / f.n) / ln(total)) END AS idf FROM entity_attr a JOIN freq f USING (field, value) CROSS JOIN tot)"
 SHARED_SQL = f"{IDF_SQL}, sh AS (SELECT x.entity AS a, y.entity AS b, x.field, x.value, x.idf FROM av x JOIN av y ON x.field = y.field AND x.value = y.value AND x.entity < y.entity)"
@@ -152,8 +153,7 @@ def _tree(spark, sf):
 
 
 def _components(spark, edges):
-    if spark.sparkContext.getCheckpointDir() is None:  # the warehouse is a folder that all executors share
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/quillon-checkpoints")
+    shared_checkpoints(spark)
     nodes = edges.select(F.col("a").alias("entity")).union(edges.select("b")).distinct()
     return au.component_sizes(g.connected_components(nodes, edges))
 
@@ -239,7 +239,17 @@ def authoring_queue(spark, sf):
     return g.authoring_queue(an.entity(spark, sf), _crew_edges(spark, sf))
 
 
-@query("type_pruning", "G13")
+@query("ordered_edges", "K01 T16 M09", f"""WITH {CREW_PAIRS_SQL}, p AS (SELECT a, b, strength, list(DISTINCT CAST(person AS VARCHAR) ORDER BY CAST(person AS VARCHAR)) AS v, least(CAST(a AS VARCHAR), CAST(b AS VARCHAR)) || '|' || greatest(CAST(a AS VARCHAR), CAST(b AS VARCHAR)) AS pair FROM cs JOIN cp USING (a, b) WHERE strength >= 0.75 GROUP BY a, b, strength),
+c AS (SELECT pair, strength, CASE WHEN len(v) = 1 THEN v[1] ELSE array_to_string(v[:-2], ', ') || ' and ' || v[-1] END AS claim, CAST({FNV_SQL.format(x='pair')} AS BIGINT) AS h FROM p) SELECT row_number() OVER (ORDER BY strength DESC, claim, h, pair) AS place, pair FROM c ORDER BY place LIMIT 100""")
+def ordered_edges(spark, sf):
+    """The first hundred of the strong crew edges in the one total order (a report's size)."""
+    best = g.total_order(_crew_edges(spark, sf).drop("claim")).orderBy(*g.order_columns()).limit(100)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(*g.order_columns())).cast("bigint")).select("place", "pair")
+
+
+@query("type_pruning", "G13", f"""WITH {STRONG_SQL}, t AS (SELECT a, b, strength, least(CAST(a AS VARCHAR), CAST(b AS VARCHAR)) || '|' || greatest(CAST(a AS VARCHAR), CAST(b AS VARCHAR)) AS edge, CASE WHEN a % 2 = 0 THEN 'hand' ELSE 'rhyme' END AS type, CASE WHEN b % 50 = 0 THEN 'reading' ELSE 'record' END AS source FROM ce),
+w AS (SELECT a AS u, * FROM t UNION ALL SELECT b, * FROM t), x AS (SELECT *, row_number() OVER (PARTITION BY u, type ORDER BY strength DESC, edge) AS turn FROM w), y AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY source = 'reading' DESC, turn, strength DESC, edge) AS place FROM x)
+SELECT type, source, count(*) AS n FROM t WHERE edge IN (SELECT edge FROM y WHERE place <= 6 OR source = 'reading') GROUP BY type, source""")
 def type_pruning(spark, sf):
     e = _crew_edges(spark, sf).withColumn("type", F.when(F.col("a") % 2 == 0, "hand").otherwise("rhyme")).withColumn("source", F.when(F.col("b") % 50 == 0, "reading").otherwise("record"))
     return g.prune_by_type(e, 6).groupBy("type", "source").agg(F.count("*").alias("n"))

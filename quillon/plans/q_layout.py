@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import colour as co
 from quillon.operators import layout as lo
+from quillon.operators import validate as va
 from quillon.plans.registry import query, table
 from quillon.sources import readers as rd
 
@@ -53,15 +54,15 @@ def weak_ratio(spark, sf):
     return lo.weak_ratio(_edges(spark, sf), _points(spark, sf)).select(F.round("ratio", 6).alias("ratio"))
 
 
-@query("degree_bias", "G17")
+@query("degree_bias", "G17", f"WITH {POINT_SQL}, {EDGE_SQL}, g AS (SELECT entity, count(*) AS degree FROM (SELECT a AS entity FROM ed UNION ALL SELECT b FROM ed) GROUP BY entity), c AS (SELECT avg(x) AS cx, avg(y) AS cy FROM pts), o AS (SELECT degree, round(sqrt((x - cx) ** 2 + (y - cy) ** 2), 9) AS far FROM pts JOIN g USING (entity) CROSS JOIN c), r AS (SELECT rank() OVER (ORDER BY degree) + (count(*) OVER (PARTITION BY degree) - 1) / 2.0 AS x, rank() OVER (ORDER BY far) + (count(*) OVER (PARTITION BY far) - 1) / 2.0 AS y FROM o) SELECT round(corr(x, y), 6) AS rho, count(*) AS n FROM r")
 def degree_bias(spark, sf):
-    return lo.degree_bias(_edges(spark, sf), _points(spark, sf))
+    return lo.degree_bias(_edges(spark, sf), _points(spark, sf)).select(F.round("rho", 6).alias("rho"), "n")
 
 
-@query("neighbour_lift", "G17 J15")
+@query("neighbour_lift", "G17 J15", f"WITH {POINT_SQL}, p AS (SELECT a.entity AS a, b.entity AS b, row_number() OVER (PARTITION BY a.entity ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.entity) AS place FROM pts a JOIN pts b ON a.entity <> b.entity), c AS (SELECT entity % 5 AS g, count(*) AS c FROM pts GROUP BY 1) SELECT round((SELECT avg(CASE WHEN a % 5 = b % 5 THEN 1.0 ELSE 0 END) FROM p WHERE place <= 3) / (SELECT sum(c * (c - 1.0)) / (sum(c) * (sum(c) - 1.0)) FROM c), 6) AS lift")
 def neighbour_lift(spark, sf):
     groups = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity"), (F.col("s_suppkey") % 5).alias("g"))
-    return lo.neighbour_lift(_points(spark, sf), groups, 3, 0.2)
+    return lo.neighbour_lift(_points(spark, sf), groups, 3, 0.2).select(F.round("lift", 6).alias("lift"))
 
 
 @query("strata_layout", "G14 G15 X08")
@@ -96,13 +97,19 @@ def colour_luminance(spark, sf):
     return table(spark, sf, "part").select("p_partkey", _colour().alias("colour")).withColumn("luminance", F.round(co.luminance(F.col("colour")), 6))
 
 
-@query("oklab_separation", "A50 M10")
+_LIN = "list_transform([2, 4, 6], lambda i: CASE WHEN ('0x' || substring(h, i, 2))::INT / 255.0 <= 0.04045 THEN ('0x' || substring(h, i, 2))::INT / 255.0 / 12.92 ELSE power((('0x' || substring(h, i, 2))::INT / 255.0 + 0.055) / 1.055, 2.4) END)"
+_LMS = ", ".join(f"cbrt({' + '.join(f'{w} * l[{i + 1}]' for i, w in enumerate(row))})" for row in co.TO_LMS)
+_LAB = [" + ".join(f"{w} * m[{i + 1}]" for i, w in enumerate(row)) for row in co.TO_LAB]
+_WHITE = [sum(w * sum(row) ** (1 / 3) for w, row in zip(lab, co.TO_LMS, strict=True)) for lab in co.TO_LAB]
+
+
+@query("oklab_separation", "A50 M10", f"WITH c AS (SELECT p_type, {HEX_SQL} AS h FROM part), l AS (SELECT p_type, {_LIN} AS l FROM c), m AS (SELECT p_type, l, [{_LMS}] AS m FROM l) SELECT p_type, round(avg(sqrt({' + '.join(f'({x} - ({w})) ** 2' for x, w in zip(_LAB, _WHITE, strict=True))})), 6) AS d, round(avg((0.2126 * l[1] + 0.7152 * l[2] + 0.0722 * l[3] + 0.05) / 0.05), 6) AS contrast FROM m GROUP BY p_type")
 def oklab_separation(spark, sf):
     """Mean Oklab distance of types' colours from white."""
-    return table(spark, sf, "part").withColumn("c", _colour()).groupBy("p_type").agg(F.avg(co.oklab_distance(F.col("c"), F.lit("#ffffff"))).alias("d"), F.avg(co.contrast(F.col("c"), F.lit("#000000"))).alias("contrast"))
+    return table(spark, sf, "part").withColumn("c", _colour()).groupBy("p_type").agg(F.round(F.avg(co.oklab_distance(F.col("c"), F.lit("#ffffff"))), 6).alias("d"), F.round(F.avg(co.contrast(F.col("c"), F.lit("#000000"))), 6).alias("contrast"))
 
 
-@query("era_palette", "M11")
+@query("era_palette", "M11", "WITH h AS (SELECT DISTINCT p_size, p_size * 7 / 30.0 AS h FROM part), k AS (SELECT p_size, list_transform([0, 8, 4], lambda n: (n + h) - 12 * floor((n + h) / 12)) AS k FROM h) SELECT p_size, '#' || array_to_string(list_transform(k, lambda x: lpad(lower(to_hex(CAST(floor((0.5 - 0.2 * greatest(-1.0, least(x - 3, 9 - x, 1.0))) * 255 + 0.5) AS BIGINT))), 2, '0')), '') AS colour FROM k")
 def era_palette(spark, sf):
     return table(spark, sf, "part").select("p_size").distinct().select("p_size", co.hsl_hex((F.col("p_size") * 7).cast("double"), F.lit(0.4), F.lit(0.5)).alias("colour"))
 
@@ -174,7 +181,33 @@ def fenced_replies(spark, sf):
     return table(spark, sf, "part").select("p_partkey", rd.fenced_json(reply, "score int")["score"].alias("score"))
 
 
-@query("best_search_count", "S17", "SELECT o_custkey, max(o_totalprice) AS best FROM orders GROUP BY o_custkey")
+@query("best_search_count", "S17", "WITH lib AS (SELECT q, count(*) AS n FROM (SELECT p_partkey, unnest(list_distinct(list_concat([p_name], string_split(p_name, ' ')))) AS q FROM part) GROUP BY q), u AS (SELECT DISTINCT p_name, i, CASE i WHEN 1 THEN p_name || '!' WHEN 2 THEN p_name WHEN 3 THEN string_split(p_name, ' ')[1] ELSE string_split(p_name, ' ')[-1] END AS variant FROM part, range(1, 5) t(i)), r AS (SELECT p_name, variant, n, row_number() OVER (PARTITION BY p_name ORDER BY n DESC, i) AS rn FROM u JOIN lib ON q = variant) SELECT p_name, variant, n FROM r WHERE rn = 1")
 def best_search_count(spark, sf):
-    """The largest count over an entity's spelling variants."""
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("best"))
+    """The spelling variant of each name that a library (here: names and their words) has most hits for."""
+    part, words = table(spark, sf, "part"), F.split("p_name", " ")
+    library = part.select(F.explode(F.array_distinct(F.concat(F.array("p_name"), words))).alias("query")).groupBy("query").agg(F.count("*").alias("n"))
+    return rd.best_counts(part, "p_name", F.array(F.concat("p_name", F.lit("!")), "p_name", F.element_at(words, 1), F.element_at(words, -1)), library)
+
+
+KINDS = ("ffd8ffe0", "89504e470d0a1a0a00", "474946383961", "474946383761", "52494646000000005745425056", "52494646000000005741564500", "424d0000", "25504446")
+
+
+@query("image_kinds", "S18", "SELECT p_partkey, [ 'jpeg', 'png', 'gif', 'gif', 'webp', NULL, 'bmp', NULL][CAST(p_partkey % 8 AS INT) + 1] AS kind FROM part")
+def image_kinds(spark, sf):
+    """What the first bytes of a file say; other RIFF files and documents are no images."""
+    content = F.unhex(F.concat(F.element_at(F.lit(list(KINDS)), (F.col("p_partkey") % 8 + 1).cast("int")), F.lit("0011223344")))
+    return table(spark, sf, "part").select("p_partkey", rd.image_kind(content).alias("kind"))
+
+
+@query("vocabulary_split", "F05", "SELECT source AS attr, source IN (SELECT 'src' || i FROM range(0, 9) t(i)) AS kept, count(*) AS n FROM documents GROUP BY ALL")
+def vocabulary_split(spark, sf):
+    """Clauses within a closed vocabulary, and those dropped, which are reported."""
+    vocabulary = spark.range(9).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("attr"))
+    kept, dropped = va.split_by_vocabulary(table(spark, sf, "documents").select(F.col("source").alias("attr")), vocabulary)
+    return kept.withColumn("kept", F.lit(True)).unionByName(dropped.withColumn("kept", F.lit(False))).groupBy("attr", "kept").agg(F.count("*").alias("n"))
+
+
+@query("property_scan", "S09 S11", "SELECT l_orderkey AS entity, l_returnflag AS property, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL")
+def property_scan(spark, sf):
+    claims = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("entity"), F.col("l_returnflag").alias("property"))
+    return rd.property_rows(claims, ["A", "R"]).groupBy("entity", "property").agg(F.count("*").alias("n"))

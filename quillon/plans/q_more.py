@@ -6,7 +6,6 @@ import json
 import uuid
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +14,9 @@ from quillon.functions import text as tx
 from quillon.operators import audit as au
 from quillon.operators import graph as g
 from quillon.operators import retrieve as r
+from quillon.operators import validate as va
 from quillon.plans import analogue as an
+from quillon.plans.q_retrieve import SIM_SQL, _sims
 from quillon.plans.registry import query, table
 from quillon.sources import readers as rd
 
@@ -94,19 +95,58 @@ def remote_pages(spark, sf):
     return spark.read.format("quillon_demo_pages").option("pages", "5").option("pages_per_task", "2").load()
 
 
-@query("length_batches", "K08", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents")
+@query("length_batches", "K08", "WITH x AS (SELECT doc_id, coalesce(length(text), 0) AS n, floor((row_number() OVER (ORDER BY coalesce(length(text), 0), doc_id) - 1) / 32) AS batch FROM documents) SELECT doc_id, CAST(n AS INT) AS n, CAST(batch AS BIGINT) AS batch, CAST(max(n) OVER (PARTITION BY batch) AS INT) AS padded FROM x")
 def length_batches(spark, sf):
-    """Texts encoded in batches of like length; order restored, so that the result is that of single calls."""
-
-    def run(s: pd.Series) -> pd.Series:
-        order = s.str.len().fillna(0).argsort(kind="stable")
-        out = np.zeros(len(s), np.int64)
-        for i in range(0, len(s), 32):
-            at = order.iloc[i : i + 32]
-            out[at] = s.iloc[at].str.len().fillna(0)
-        return pd.Series(out)
-
-    return table(spark, sf, "documents").select("doc_id", F.pandas_udf(run, "bigint")("text").alias("n"))
+    """Texts in batches of 32 of like length."""
+    return r.length_batches(table(spark, sf, "documents"), "doc_id", "text", 32)
+
+
+@query("json_documents", "S01", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_documents(spark, sf):
+    """A JSON document a file."""
+    path = scratch(spark, "documents")
+    table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey", F.col("n_nationkey").alias("part")).write.partitionBy("part").json(path)
+    return rd.read_json_document(spark, path, "n_nationkey bigint, n_name string, n_regionkey bigint").select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("json_map", "S01", "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS value FROM nation")
+def json_map(spark, sf):
+    """A file that holds one map."""
+    path, n = scratch(spark, "map"), table(spark, sf, "nation")
+    whole = n.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), "n_name")))).alias("value"))  # the map of nations is one small document
+    whole.write.text(path)
+    return rd.read_json_map(spark, path, "string")
+
+
+@query("json_shards", "S27 X02", "SELECT n_regionkey AS region, count(*) AS good, 1 AS bad FROM nation GROUP BY 1")
+def json_shards(spark, sf):
+    """Shards of which one in each folder can't be read: it is skipped and counted."""
+    path, n = scratch(spark, "shards"), table(spark, sf, "nation")
+    n.select("n_nationkey", F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("part")).write.partitionBy("region", "part").json(path)
+    n.select(F.col("n_regionkey").alias("region"), F.lit(-1).alias("part"), F.lit('{"n_nationkey": 1').alias("value")).distinct().write.mode("append").partitionBy("region", "part").text(path)
+    read = rd.read_shards(spark, path, "n_nationkey bigint")
+    return read.groupBy(F.col("region").cast("bigint").alias("region")).agg(F.count_if(F.col("n_nationkey").isNotNull() & F.col("_corrupt").isNull()).alias("good"), F.count_if(F.col("_corrupt").isNotNull()).cast("int").alias("bad"))
+
+
+@query("seed_file", "S04", "SELECT p_name AS title, 1916 + 2 * p_size AS year, count(*) AS n FROM part GROUP BY ALL")
+def seed_file(spark, sf):
+    """Seed lines from a file with comments and blank lines."""
+    path = scratch(spark, "seeds")
+    line = F.concat("p_name", F.lit(" ("), (1916 + 2 * F.col("p_size")).cast("string"), F.lit(")"))
+    table(spark, sf, "part").select(F.explode(F.array(line, F.concat(F.lit("# "), line), F.lit(""))).alias("value")).write.text(path)
+    return rd.read_seeds(spark, path).groupBy("title", "year").agg(F.count("*").alias("n"))
+
+
+@query("ratings_file", "S07 S05 A17 J20", "WITH v AS (SELECT l_partkey AS p, count(*) AS v, round(avg(l_quantity), 4) AS r FROM lineitem GROUP BY l_partkey), c AS (SELECT avg(r) AS c FROM v) SELECT p_name, p, round(v / (v + 30.0) * r + 30.0 / (v + 30.0) * c, 2) AS score FROM v CROSS JOIN c JOIN part ON p_partkey = p")
+def ratings_file(spark, sf):
+    """Ratings from a gzip file of tab-separated values, joined to works by id."""
+    path = scratch(spark, "ratings")
+    rated = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.round(F.avg("l_quantity"), 4).alias("r"), F.count("*").alias("v"))
+    rated.select(F.concat(F.lit("tt"), F.col("l_partkey").cast("string")), "r", "v").write.option("sep", "\t").option("compression", "gzip").csv(path)
+    v = rd.read_tsv(spark, path, "id string, r double, v bigint")
+    works = table(spark, sf, "part").select("p_name", F.col("p_partkey").alias("p"), F.concat(F.lit("tt"), F.col("p_partkey").cast("string")).alias("id"))
+    joined = v.join(works, "id").join(F.broadcast(v.agg(F.avg("r").alias("c"))))
+    return joined.select("p_name", "p", r.weighted_rating(F.col("v"), F.col("r"), F.col("c"), 30.0).alias("score"))
 
 
 @query("title_leak", "Q21", "SELECT p_type, round(avg(CASE WHEN contains(p_name, 'ring') THEN 1.0 ELSE 0 END), 6) AS leak, round(avg(CASE WHEN p_size < 5 THEN 1.0 ELSE 0 END), 6) AS thin FROM part GROUP BY p_type")
@@ -116,7 +156,10 @@ def title_leak(spark, sf):
     return table(spark, sf, "part").groupBy("p_type").agg(F.round(F.avg(hit.cast("int")), 6).alias("leak"), F.round(F.avg((F.col("p_size") < 5).cast("int")), 6).alias("thin"))
 
 
-@query("fingerprint_similarity", "Q22")
+@query("fingerprint_similarity", "Q22", f"""WITH {an.ATTR_SQL}, tot AS (SELECT CAST(count(*) AS DOUBLE) AS total FROM part), freq AS (SELECT value, count(DISTINCT entity) AS n FROM entity_attr WHERE field = 'keyword' GROUP BY value), av AS (SELECT entity, value, least(1.0, ln(total / n) / ln(total)) AS idf FROM entity_attr JOIN freq USING (value) CROSS JOIN tot WHERE field = 'keyword' AND n <= 0.15 * total),
+own AS (SELECT entity, sum(idf) AS w FROM av GROUP BY entity), p AS (SELECT x.entity AS a, y.entity AS b, sum(x.idf) AS c FROM av x JOIN av y ON x.value = y.value AND x.entity < y.entity GROUP BY 1, 2),
+s AS (SELECT a, round(least(1.0, (0.55 * (1 - abs(i.p_size - j.p_size) / 50.0) + 0.45 * c / (u.w + v.w - c)) * CASE WHEN i.p_type <> j.p_type THEN 1.15 ELSE 1 END), 6) AS sim FROM p JOIN own u ON u.entity = a JOIN own v ON v.entity = b JOIN part i ON i.p_partkey = a JOIN part j ON j.p_partkey = b)
+SELECT a, count(*) AS n, max(sim) AS best FROM s WHERE sim >= 0.72 GROUP BY a""")
 def fingerprint_similarity(spark, sf):
     """.55 axis similarity + .45 idf-weighted overlap, x 1.15 across clusters, from .72; values of over 15 % of works don't count."""
     n = an.entity(spark, sf).count()
@@ -130,10 +173,11 @@ def fingerprint_similarity(spark, sf):
     return x.withColumn("sim", F.round(sim, 6)).where("sim >= 0.72").groupBy("a").agg(F.count("*").alias("n"), F.max("sim").alias("best"))
 
 
-@query("composed_score", "Q23", "WITH m AS (SELECT p_partkey, p_size / 50.0 AS x, (p_partkey % 10) / 10.0 AS y FROM part) SELECT p_partkey, round(sqrt(x * y), 6) AS score FROM m")
+@query("composed_score", "Q23", f"WITH {SIM_SQL} SELECT query // 200 AS pair, chunk, round(power(product(greatest(sim, 0)), 1.0 / count(*)), 6) AS score FROM sim GROUP BY ALL")
 def composed_score(spark, sf):
-    """Two chosen works' likeness combined by geometric mean, so that a candidate must be like both."""
-    return table(spark, sf, "part").select("p_partkey", F.round(F.sqrt(F.col("p_size") / 50.0 * (F.col("p_partkey") % 10 / 10.0)), 6).alias("score"))
+    """Likeness of every chunk to two chosen works at once: the stated queries two by two."""
+    s = _sims(spark, sf).withColumn("pair", F.expr("query div 200"))
+    return r.composed(s, "chunk").select("pair", "chunk", F.round("score", 6).alias("score"))
 
 
 @query("authored_edges", "Z01", "SELECT count(*) AS n FROM (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, l_returnflag FROM lineitem)")
@@ -151,11 +195,10 @@ def first_spine(spark, sf):
     return crew.unionByName(g.reference_proposals(refs, an.entity(spark, sf)).select(F.lit("descent").alias("signal"))).groupBy("signal").agg(F.count("*").alias("n"))
 
 
-@query("stripper_check", "Z07", "SELECT 0 AS differ")
+@query("stripper_check", "Z07 T11")
 def stripper_check(spark, sf):
-    """Two counts of the same pages' text, by the built-in chain in one step and in two: none differs."""
-    p = table(spark, sf, "pages").select("page_id", F.length(tx.html_text(F.col("html"))).alias("a"), F.length(tx.html_text(tx.html_text(F.col("html")))).alias("b"))
-    return p.agg(F.count_if(F.col("a") < F.col("b")).cast("int").alias("differ"))
+    """Characters of every page's text by two independent strippers."""
+    return tx.stripper_lengths(table(spark, sf, "pages"), "page_id", "html").withColumn("differ", ~F.col("a").eqNullSafe(F.col("b")))
 
 
 @query("fame_blocks", "Z08 M01", """WITH v AS (SELECT n_regionkey AS block, c_acctbal AS x, count(o_orderkey) AS y FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, n_regionkey, c_acctbal),
@@ -172,18 +215,17 @@ def attribute_dump(spark, sf):
     return an.entity_attr(spark, sf).select("field", "value").distinct().withColumn("ordinal", F.row_number().over(Window.partitionBy("field").orderBy("value")))
 
 
-@query("focused_texts", "Z25", "SELECT doc_id, len(list_filter(string_split(text, ' '), lambda w: w = 'the')) AS n FROM documents WHERE lang = 'en' AND len(list_filter(string_split(text, ' '), lambda w: w = 'the')) >= 20")
+@query("focused_texts", "Z25", "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) >= 4 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rn FROM c WHERE n >= 20) SELECT doc_id, word, n FROM r WHERE rn = 1")
 def focused_texts(spark, sf):
     """Texts that come back to one word often enough."""
-    n = F.size(F.filter(F.split("text", " "), lambda w: w == "the"))
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", n.alias("n")).where("n >= 20")
+    return tx.focus(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("notes", "Z28", "SELECT 2 AS n")
+@query("notes", "Z28", "SELECT conv_id, turn, length(text) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1 AND turn % 5 <> 4")
 def notes(spark, sf) -> DataFrame:
-    """Create, change and delete on a small table: a merge by key of numbered changes, the last one standing."""
-    log = spark.createDataFrame([(1, "a", "set", 1), (2, "b", "set", 2), (1, "a2", "set", 3), (3, "c", "set", 4), (3, None, "delete", 5)], "id int, body string, op string, seq int")
-    return log.groupBy("id").agg(F.max_by("op", "seq").alias("op")).where("op = 'set'").agg(F.count("*").cast("int").alias("n"))
+    """Conversations as notes that each turn rewrites, and every fifth deletes."""
+    log = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n"), F.when(F.col("turn") % 5 == 4, "delete").otherwise("set").alias("op"))
+    return va.apply_changes(log, "conv_id", "turn")
 
 
 @query("side_by_side", "Z23 A45", "SELECT round(count(*) / 10.0, 6) AS overlap FROM (SELECT s_suppkey FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10) JOIN (SELECT s_suppkey FROM supplier ORDER BY s_nationkey, s_suppkey LIMIT 10) USING (s_suppkey)")

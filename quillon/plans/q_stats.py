@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import stats as st
+from quillon.operators.facets import row_numbers
 from quillon.plans.registry import query, table
 
 RANK_SQL = "rank() OVER (PARTITION BY {g} ORDER BY {v}) + (count(*) OVER (PARTITION BY {g}, {v}) - 1) / 2.0"
@@ -179,7 +183,7 @@ SEEN = "WITH f AS (SELECT o_clerk, min(i) AS i FROM (SELECT o_custkey AS o_clerk
 @query("saturation_curve", "W14 W16", f"""{SEEN}, c AS (SELECT CAST(floor((i - 1) / 100) AS BIGINT) AS win, count(*) AS fresh FROM f GROUP BY 1) SELECT win, fresh, CAST(sum(fresh) OVER (ORDER BY win) AS BIGINT) AS seen FROM c""")
 def saturation_curve(spark, sf):
     """Distinct customers after each hundred orders, and how many are new."""
-    i = table(spark, sf, "orders").select("o_custkey", (F.row_number().over(Window.orderBy("o_orderkey")) - 1).alias("i"))
+    i = row_numbers(table(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_orderkey").select("o_custkey", F.col("row").alias("i"))
     first = i.groupBy("o_custkey").agg(F.min("i").alias("i")).groupBy(F.floor(F.col("i") / 100).alias("win")).agg(F.count("*").alias("fresh"))
     return first.withColumn("seen", F.sum("fresh").over(Window.orderBy("win")))
 
@@ -208,8 +212,27 @@ def round_robin_strata(spark, sf):
 
 @query("circular_bearings", "W17", "SELECT s_suppkey, round(2 * pi() * (row_number() OVER (ORDER BY atan2(s_acctbal - 4000, s_nationkey - 12), s_suppkey) - 1) / count(*) OVER (), 6) AS bearing FROM supplier")
 def circular_bearings(spark, sf):
-    w = Window.orderBy(F.atan2(F.col("s_acctbal") - 4000, (F.col("s_nationkey") - 12).cast("double")), "s_suppkey")
-    return table(spark, sf, "supplier").select("s_suppkey", F.round(2 * F.pi() * (F.row_number().over(w) - 1) / F.count("*").over(Window.partitionBy()), 6).alias("bearing"))
+    s = table(spark, sf, "supplier").select(F.struct(F.atan2(F.col("s_acctbal") - 4000, (F.col("s_nationkey") - 12).cast("double")).alias("t"), "s_suppkey").alias("o"))
+    return row_numbers(s, "o").select("o.s_suppkey", F.round(2 * F.pi() * F.col("row") / s.count(), 6).alias("bearing"))
+
+
+@query("generators", "M08", "WITH s AS (SELECT n_nationkey AS seed, i FROM nation, range(1, 6) t(i)), a AS (SELECT seed, i, (seed + i * 1831565813::HUGEINT) % 4294967296 AS a FROM s), t AS (SELECT seed, i, a, (xor(a, a // 32768) * (a + 1 - a % 2)) % 4294967296 AS t FROM a), u AS (SELECT seed, i, xor((t + (xor(t, t // 128) * (t - (t & 61) + 61)) % 4294967296) % 4294967296, t) AS u FROM t) SELECT seed, CAST(i AS INT) AS i, round(xor(u, u // 16384) / 4294967296.0, 9) AS x FROM u")
+def generators(spark, sf):
+    """Five draws of the 32-bit generator for each of some seeds."""
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([(int(s), i, round(x, 9)) for s in b["seed"] for i, x in enumerate(islice(st.mulberry32(int(s)), 5), 1)], columns=["seed", "i", "x"])
+
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("seed")).mapInPandas(run, "seed bigint, i int, x double")
+
+
+@query("congruential_draws", "M08", "WITH RECURSIVE r(seed, i, s) AS (SELECT n_nationkey::HUGEINT, 0, n_nationkey::HUGEINT FROM nation UNION ALL SELECT seed, i + 1, (s * 1664525 + 1013904223) % 4294967296 FROM r WHERE i < 5) SELECT CAST(seed AS BIGINT) AS seed, i, round(s / 4294967296.0, 9) AS x FROM r WHERE i > 0")
+def congruential_draws(spark, sf):
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([(int(s), i, round(x, 9)) for s in b["seed"] for i, x in enumerate(islice(st.lcg(int(s)), 5), 1)], columns=["seed", "i", "x"])
+
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("seed")).mapInPandas(run, "seed bigint, i int, x double")
 
 
 @query("score_bands", "W05", "WITH b AS (SELECT p_size AS s, count(*) AS width, dense_rank() OVER (ORDER BY p_size DESC) AS band FROM part GROUP BY p_size) SELECT s, band, width, CAST(sum(width) OVER (ORDER BY band) AS BIGINT) AS filled, round((s + lead(s, 1, s) OVER (ORDER BY band)) / 2.0, 6) AS edge FROM b")

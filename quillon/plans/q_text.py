@@ -56,7 +56,10 @@ def sentences(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(tx.sentence_list(F.col("text"))).alias("n"))
 
 
-@query("first_sentences", "T13")
+SPLIT = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(2), 'g'), chr(2)), lambda s: trim(s, ' ')), lambda s: s <> '')"
+
+
+@query("first_sentences", "T13", f"WITH s AS (SELECT doc_id, {SPLIT} AS s FROM documents), k AS (SELECT doc_id, s, list_max(list_filter(range(1, least(len(s), 201) + 1), lambda k: length(array_to_string(s[1:k], ' ')) <= 200)) AS k FROM s) SELECT doc_id, CASE WHEN len(s) = 0 THEN '' WHEN length(s[1]) > 200 THEN substring(s[1], 1, 200) ELSE array_to_string(s[1:k], ' ') END AS lead FROM k")
 def first_sentences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.first_sentences(F.col("text"), 200).alias("lead"))
 
@@ -143,6 +146,32 @@ def unread_spans(spark, sf):
     return _parsed(spark).select("query", F.explode("reading.unread").alias("u")).select("query", "u.text", "u.kind", "u.why")
 
 
+NAME_LEXICON = {"hue:warm": ["red"], "hue:cold": ["blue", "green"], "size:small": ["small"], "size:large": ["large"], "form:round": ["ring"], "form:long": ["bolt", "rod"]}
+NAMED_SQL = """WITH lex(word, attr) AS (VALUES ('red', 'hue:warm'), ('blue', 'hue:cold'), ('green', 'hue:cold'), ('small', 'size:small'), ('large', 'size:large'), ('ring', 'form:round'), ('bolt', 'form:long'), ('rod', 'form:long')),
+p AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), a AS (SELECT p_partkey, w[1] AS first, w[-1] AS last, x.attr AS one, y.attr AS two FROM p LEFT JOIN lex x ON x.word = w[1] LEFT JOIN lex y ON y.word = w[-1])"""
+
+
+def _said(spark, sf):
+    """A sentence of each part's name, read: very <first word>, not a <last word> form."""
+    lexicon = ps.Lexicon.build(NAME_LEXICON, ["not"], ["very"], [], ["a"], namespaces=["form"])
+    words = F.split("p_name", " ")
+    said = F.concat(F.lit("very "), F.element_at(words, 1), F.lit("; not a "), F.element_at(words, -1), F.lit(" form"))
+    return ps.parse_sentences(table(spark, sf, "part").select("p_partkey", said.alias("said")), "said", lexicon)
+
+
+@query("name_clauses", "Q01 Q02 Q04 T02 T03 Z20", f"{NAMED_SQL} SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY place) - 1 AS INT) AS clause, attr AS any_of, weight, negate FROM (SELECT p_partkey, 0 AS place, one AS attr, 1.5 AS weight, false AS negate FROM a WHERE one IS NOT NULL UNION ALL SELECT p_partkey, 1, two, 1.0, true FROM a WHERE two IS NOT NULL)")
+def name_clauses(spark, sf):
+    return ps.clause_rows(_said(spark, sf), "p_partkey").withColumn("any_of", F.concat_ws("|", "any_of"))
+
+
+@query("name_readings", "Q02 Q03", f"{NAMED_SQL} SELECT p_partkey, CASE WHEN one IS NOT NULL THEN 'very ' || first END AS early, CASE WHEN two LIKE 'form:%' THEN 'not a ' || last || ' form' WHEN two IS NOT NULL THEN 'not a ' || last END AS late, CAST(CASE WHEN one IS NULL THEN 1 ELSE 0 END + CASE WHEN two IS NULL THEN 1 WHEN two LIKE 'form:%' THEN 0 ELSE 1 END AS INT) AS unread FROM a")
+def name_readings(spark, sf):
+    """What each reading took of its sentence, with a family's name behind it, and how many spans nothing read."""
+    x = F.col("reading.readings")
+    text = lambda negate: F.get(F.filter(x, lambda r: r["negate"] == negate), F.lit(0))["text"]
+    return _said(spark, sf).select("p_partkey", text(False).alias("early"), text(True).alias("late"), F.size("reading.unread").alias("unread"))
+
+
 @query("clause_conflicts", "Q04")
 def clause_conflicts(spark, sf):
     return _parsed(spark).select("query", F.size("reading.conflicts").alias("n"))
@@ -169,13 +198,20 @@ def lexicon_matches(spark, sf):
     return ps.lexicon_matches(table(spark, sf, "part"), "p_partkey", "p_name", phrases, 2)
 
 
+MOST_BEGINS = 10_000  # first words that are looked up; with more of them all runs are joined
+
+
 @query("mentions", "J22 X04 S13", """WITH b AS (SELECT item_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:8] AS w FROM benchmark) SELECT doc_id, count(DISTINCT item_id) AS items FROM documents JOIN b ON contains(' ' || regexp_replace(documents.text, '\\s+', ' ', 'g') || ' ', ' ' || array_to_string(w, ' ') || ' ') GROUP BY doc_id""")
 def mentions(spark, sf):
     """Documents that hold the first eight words of an item: an n-gram equi-join, no pairing of all texts."""
-    first = table(spark, sf, "benchmark").select("item_id", F.concat_ws(" ", F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 8)).alias("gram"))
+    first = table(spark, sf, "benchmark").select("item_id", F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 8).alias("w"))
+    begins = [r[0] for r in first.select(F.element_at("w", 1)).distinct().limit(MOST_BEGINS + 1).collect()]
     words = table(spark, sf, "documents").select("doc_id", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w"))
-    grams = words.where(F.size("w") >= 8).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.concat_ws(" ", F.slice(F.col("w"), i, F.lit(8))))).alias("gram"))
-    return grams.join(first, "gram").groupBy("doc_id").agg(F.count_distinct("item_id").alias("items"))
+    at = F.sequence(F.lit(1), F.size("w") - 7)
+    if len(begins) <= MOST_BEGINS:  # runs are built only where an item may begin
+        at = F.filter(at, lambda i: F.element_at("w", i).isin(begins))
+    grams = words.where(F.size("w") >= 8).select("doc_id", F.explode(F.transform(at, lambda i: F.concat_ws(" ", F.slice(F.col("w"), i, F.lit(8))))).alias("gram"))
+    return grams.join(first.select("item_id", F.concat_ws(" ", "w").alias("gram")), "gram").groupBy("doc_id").agg(F.count_distinct("item_id").alias("items"))
 
 
 @query("prose_guards", "F23", "SELECT guard, count(*) AS n FROM (SELECT CASE WHEN text LIKE '%?%' THEN 'question' WHEN regexp_matches(text, '\\b(the) (the)\\b') THEN 'repeat' WHEN length(text) < 200 THEN 'short' ELSE 'kept' END AS guard FROM conversations) GROUP BY guard")

@@ -23,5 +23,11 @@ def query(name: str, covers: str, sql: str | None = None):
     return add
 
 
+def shared_checkpoints(spark: SparkSession) -> None:
+    """A folder for checkpoints: the one that the session names, else the warehouse, which all executors share."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/quillon-checkpoints")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -91,10 +91,21 @@ def extend(known: DataFrame, fresh: DataFrame, key: str, columns: list[str]) ->
     return out.drop(*(f"_{c}" for c in columns))
 
 
+def stamped_batches(df: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, batch): distinct keys in order, ``size`` to a batch."""
+    return row_numbers(df.select(key).distinct(), key).select(key, F.floor(F.col("row") / size).alias("batch"))
+
+
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:
     """(batch, keys): requests of ``size`` keys."""
-    numbered = row_numbers(df.select(key).distinct(), key).withColumn("batch", F.floor(F.col("row") / size))
-    return numbered.groupBy("batch").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+    return stamped_batches(df, key, size).groupBy("batch").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+
+
+def best_counts(titles: DataFrame, title: str, variants: Column, counts: DataFrame) -> DataFrame:
+    """(title, variant, n): of a title's spelling variants the one with most hits in (query, n), ties to the first; titles without hits are left out."""
+    tried = titles.select(title).distinct().select(title, F.posexplode(variants).alias("place", "query"))
+    hits = tried.join(counts, "query")
+    return hits.groupBy(title).agg(F.max_by(F.struct(F.col("query").alias("variant"), "n"), F.struct("n", -F.col("place"))).alias("x")).select(title, "x.*")
 
 
 def follow_redirects(names: DataFrame, redirects: DataFrame, hops: int = 5) -> DataFrame:
@@ -117,14 +128,15 @@ def modal_window(windows: DataFrame) -> DataFrame:
     return n.agg(F.max_by("start", F.struct("n", "start")).alias("start"), F.max("n").alias("n"))
 
 
-MAGIC = {"ffd8ff": "jpeg", "89504e470d0a1a0a": "png", "47494638": "gif", "52494646": "webp"}
+# First bytes of image files, in hexadecimal; for webp also those from the ninth on.
+MAGIC = {"jpeg": ("ffd8ff", ""), "png": ("89504e470d0a1a0a", ""), "gif87a": ("474946383761", ""), "gif89a": ("474946383961", ""), "webp": ("52494646", "57454250"), "bmp": ("424d", "")}
 
 
 def image_kind(content: Column) -> Column:
     """Kind of an image by its first bytes, or null."""
-    h, out = F.lower(F.hex(F.substring(content, 1, 8))), F.lit(None).cast("string")
-    for magic, name in MAGIC.items():
-        out = F.when(h.startswith(magic), name).otherwise(out)
+    h, out = F.lower(F.hex(F.substring(content, 1, 12))), F.lit(None).cast("string")
+    for name, (first, ninth) in MAGIC.items():
+        out = F.when(h.startswith(first) & F.substring(h, 17, 8).startswith(ninth), name[:3] if name.startswith("gif") else name).otherwise(out)
     return out
 
 
