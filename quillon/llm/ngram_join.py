@@ -307,22 +307,15 @@ def _needed(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.where(F.col("doc_id").isNotNull()).where(maybe(slot)).join(ids, "doc_id", "left_semi")
 
 
-def _once(batches):
-    """Rows (doc_id, text) without those that repeat within a batch, which say nothing new."""
-    for b in batches:
-        if len(np.unique(b.column("doc_id").to_numpy())) < b.num_rows:
-            first: dict[tuple, int] = {}
-            for i, key in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
-                first.setdefault(key, i)
-            b = b.take(pa.array(list(first.values())))
-        yield b
-
-
 def _compare(rows: DataFrame, pairs: DataFrame, size: int, blocks: int) -> DataFrame:
     """(a, y, rest) to each y's exact difference from its pivot a: a block of documents gets each pivot's text once."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("y")).distinct()
     spot = F.pmod(F.xxhash64("doc_id", F.length("text"), F.xxhash64("text")), F.lit(blocks)).cast("int")
-    texts = materialise(_needed(rows, ids).mapInArrow(_once, "doc_id bigint, text string").withColumn("block", spot), "texts")
+    texts = materialise(_needed(rows, ids).withColumn("block", spot), "texts")
+    repeated = materialise(texts.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():  # rows that repeat say nothing new, and would gather in one block
+        once = texts.join(repeated, "doc_id", "left_semi").distinct()
+        texts = materialise(texts.join(repeated, "doc_id", "left_anti").unionByName(once), "texts")
     place = texts.select(F.col("doc_id").alias("y"), F.col("block").alias("at")).distinct()
     asked = pairs.join(place, "y").groupBy("at", "a").agg(F.collect_list(F.struct("y", "rest")).alias("ys"))
     asked = asked.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("pivot_text")), "a").select("at", "a", "ys", "pivot_text")

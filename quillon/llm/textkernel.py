@@ -147,7 +147,7 @@ def distinct(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.cumsum(count)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Parts of a batch of about ``most`` bytes of text each (one row at least)."""
     texts = batch.column(column)
     size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
