@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
+from quillon.operators import guards as gd
 from quillon.operators import parse as ps
 from quillon.plans.registry import query, table
 
@@ -214,17 +214,60 @@ def mentions(spark, sf):
     return grams.join(first.select("item_id", F.concat_ws(" ", "w").alias("gram")), "gram").groupBy("doc_id").agg(F.count_distinct("item_id").alias("items"))
 
 
-@query("prose_guards", "F23", "SELECT guard, count(*) AS n FROM (SELECT CASE WHEN text LIKE '%?%' THEN 'question' WHEN regexp_matches(text, '\\b(the) (the)\\b') THEN 'repeat' WHEN length(text) < 200 THEN 'short' ELSE 'kept' END AS guard FROM conversations) GROUP BY guard")
+# What a critic may write of a part, and why it is dropped: (sentence, reason, opens with a pointer).
+REVIEWS = [
+    ("The {} lies grey and still beneath a slow and yellow light.", None, False),
+    ("Is the {} a place, a memory, or only a trick of the light?", "question", False),
+    ("Unlike the others, the {} never leaves the grey and slow light.", "comparative", False),
+    ("These lie beside the {} until the slow light has gone from it.", None, True),
+    ("According to some, the {} was left empty for all of a week.", "citation", False),
+    ("They wait near the {} in the cold until the last light has gone.", None, True),
+    ("The {} follows the dialectic of sea and stone in slow light.", "theory", False),
+    ("Delgado's camera glides over the {} and its slow grey light.", "possessive", False),
+    ("The ⟦Winter Road⟧ stands here behind the {} in slow grey light.", "italic", False),
+    ("The patient shots that Lindqvist favoured show the {} in light.", "other hand", False),
+    ("Short {}.", "length", False),
+    ("The grey light of his work returns over the {} and its crates.", "oeuvre", False),
+]
+ESSAYS = [("{}", "Okafor films {} ({y}) at dusk.", True), ("{}", "Nobody who made {} is named.", True), ("Delgado's {}", "Okafor made it.", True), ("{}", "Okafor came before {} (2099).", True), ("{}", "Okafor came first; Lindqvist's remake of {} is later.", True), ("{}", "Okafor made {}.", False), ("{}", "{}, {}, {}: all Okafor.", False), ("{}", "Okafor. Marsh, Marsh, Marsh on {}.", True)]
+SURNAMES = [("Okafor", 1), ("Lindqvist", 2), ("Marsh", 3)]
+_VALUES = ", ".join("({}, {}, {}, {})".format(k, f"'{why}'" if why else "CAST(NULL AS VARCHAR)", why in gd.OFF_FILM, why in ("length", "question")) for k, (_, why, _) in enumerate(REVIEWS))
+REVIEWED_SQL = f"""WITH t(k, why, off, early) AS (VALUES {_VALUES}), s AS (SELECT p_partkey, p_partkey // 10 AS post, why, off, early, k IN (3, 5) AS points FROM part JOIN t ON k = p_size % {len(REVIEWS)}),
+c AS (SELECT *, last_value(CASE WHEN NOT early AND NOT points THEN off END IGNORE NULLS) OVER (PARTITION BY post ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM s)
+SELECT p_partkey, CASE WHEN points AND carried THEN 'pointer' ELSE why END AS reason FROM c"""
+
+
+def _chosen(items, by, name):
+    """The template that ``by`` picks, with the part's name in it."""
+    return F.replace(F.element_at(F.array(*map(F.lit, items)), (by % len(items) + 1).cast("int")), F.lit("{}"), name)
+
+
+def _reviews(spark, sf):
+    """One sentence of each part; ten parts in a row are a post."""
+    p = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 10).alias("post"), F.lit(1).alias("film"), F.col("p_partkey").alias("pos"), _chosen([t for t, _, _ in REVIEWS], F.col("p_size"), F.col("p_name")).alias("text"))
+    rows = p.select("*", F.lit(False).alias("must_name"), F.array(F.lit("quiet harbour")).alias("titles"), F.array(F.lit("Okafor")).alias("hands"), F.array(F.lit("paper moon")).alias("other_titles"))
+    return gd.guard_sentences(rows, spark.createDataFrame(SURNAMES, "name string, film int"))
+
+
+@query("prose_guards", "F23", REVIEWED_SQL)
 def prose_guards(spark, sf):
-    """Sentences dropped by the first guard that they trip, with counts."""
-    c = F.col("text")
-    g = F.when(c.contains("?"), "question").when(c.rlike(r"\b(the) (the)\b"), "repeat").when(F.length(c) < 200, "short").otherwise("kept")
-    return table(spark, sf, "conversations").groupBy(g.alias("guard")).agg(F.count("*").alias("n"))
+    """Why the sentence of each part is dropped; sentences with pointers follow the one before."""
+    return _reviews(spark, sf).select(F.col("pos").alias("p_partkey"), "reason")
+
+
+@query("guard_drops", "F23", f"SELECT coalesce(reason, 'kept') AS guard, count(*) AS n FROM ({REVIEWED_SQL}) GROUP BY 1")
+def guard_drops(spark, sf):
+    return gd.drop_counts(_reviews(spark, sf))
 
 
-@query("anaphora", "F23", "SELECT conv_id, turn, role = lag(role, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS again FROM conversations")
-def anaphora(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", (F.col("role") == F.lag("role", 2).over(Window.partitionBy("conv_id").orderBy("turn"))).alias("again"))
+@query("essay_guards", "F23", "SELECT p_partkey, CASE p_size % 8 WHEN 1 THEN 'no hand' WHEN 2 THEN 'credited to another' WHEN 3 THEN 'other version' WHEN 4 THEN 'other version' WHEN 5 THEN 'few mentions' END AS reason, p_size % 8 IN (5, 6, 7) AS must_name FROM part")
+def essay_guards(spark, sf):
+    """An essay of each part, with its name as title: refused, or held to sentences that name it."""
+    title, by, year = F.initcap("p_name"), F.col("p_size"), 1916 + 2 * F.col("p_size")
+    about = F.element_at(F.array(*(F.lit(a) for _, _, a in ESSAYS)), (by % len(ESSAYS) + 1).cast("int"))
+    text = F.replace(_chosen([x for _, x, _ in ESSAYS], by, title), F.lit("{y}"), year.cast("string"))
+    essays = table(spark, sf, "part").select(F.col("p_partkey").alias("post"), F.lit(1).alias("film"), _chosen([t for t, _, _ in ESSAYS], by, title).alias("title"), text.alias("text"), year.alias("year"), about.alias("about"), F.lit(False).alias("about_many"), F.array(tx.fold(F.col("p_name"))).alias("titles"), F.array(F.lit("Okafor")).alias("hands"))
+    return gd.judge_essays(essays, spark.createDataFrame(SURNAMES, "name string, film int")).select(F.col("post").alias("p_partkey"), "reason", "must_name")
 
 
 @query("keyword_folding", "F01 S04", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split(lower(trim(p_name)), ' '), lambda w: length(w) > 2 AND w NOT IN ('red', 'large')), lambda w: 'kw:' || w))), ',') AS kw FROM part")
