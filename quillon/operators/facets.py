@@ -28,8 +28,11 @@ def bucket_of(value: Column, rules: list[tuple[str, list]], default: str) -> Col
 
 
 def row_numbers(entities: DataFrame, id_col: str = "id") -> DataFrame:
-    """Entities with ``row``, their place by permanent id.  One order of all ids: sorted by range first, so that only counts meet in one place."""
-    spread = entities.repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col).withColumn("_p", F.spark_partition_id())
+    """Entities with ``row``, their place by permanent id.  One order of all ids: dealt by range first, so that only counts meet in one place.
+
+    The ranges are kept, as rows and counts both read them: dealt twice, they would differ in their bounds and in how they are merged.
+    """
+    spread = entities.repartitionByRange(F.col(id_col)).withColumn("_p", F.spark_partition_id()).cache()
     within = spread.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(id_col)))
     ends = within.groupBy("_p").agg(F.max(id_col).alias("_hi"), F.count("*").alias("_c"))
     start = ends.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_hi").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_s")
