@@ -67,9 +67,12 @@ def delta_encode(posting: DataFrame) -> DataFrame:
 
 
 def delta_decode(encoded: DataFrame) -> DataFrame:
-    """Running sums of the differences."""
-    step = F.aggregate("deltas", F.array().cast("array<int>"), lambda acc, d: F.concat(acc, F.array(d + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))))
-    return encoded.select("facet", "value", step.alias("rows"))
+    """Running sums of the differences, summed as rows: an array that grows by one a step would be copied each time."""
+    steps = encoded.select("facet", "value", F.posexplode_outer("deltas").alias("i", "d"))
+    w = Window.partitionBy("facet", "value").orderBy("i")
+    at = steps.withColumn("row", F.sum("d").over(w).cast("int"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "row"))))
+    return at.groupBy("facet", "value").agg(F.transform(ordered, lambda x: x["row"]).alias("rows"))
 
 
 def delta_rows(facets: DataFrame) -> DataFrame:
