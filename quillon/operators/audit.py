@@ -205,9 +205,10 @@ def directional_share(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type").agg(F.try_divide(F.count_if(F.col("directed") & (F.col("to_year") > F.col("from_year"))), F.count_if("directed")).alias("share"))
 
 
-def neighbourhood_residual(edges_both: DataFrame, values: DataFrame, least: int = 3) -> DataFrame:
-    """(entity, residual): own value less the mean of at least three neighbours."""
-    near = edges_both.join(values.select(F.col("entity").alias("v"), F.col("value").alias("x")), "v").groupBy("u").agg(F.avg("x").alias("m"), F.count("x").alias("n")).where(F.col("n") >= least)
+def neighbourhood_residual(edges_both: DataFrame, values: DataFrame, least: int = 3, near_values: DataFrame | None = None) -> DataFrame:
+    """(entity, residual): own value less the mean of at least three neighbours; ``near_values``: those of the ``v`` side, where it is of another kind with keys of its own."""
+    of = values if near_values is None else near_values
+    near = edges_both.join(of.select(F.col("entity").alias("v"), F.col("value").alias("x")), "v").groupBy("u").agg(F.avg("x").alias("m"), F.count("x").alias("n")).where(F.col("n") >= least)
     return values.join(near, F.col("entity") == F.col("u")).select("entity", (F.col("value") - F.col("m")).alias("residual"))
 
 

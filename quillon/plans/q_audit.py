@@ -248,9 +248,11 @@ def directional_share(spark, sf):
 
 @query("neighbourhood_residual", "A53", "WITH e AS (SELECT DISTINCT l_partkey AS u, l_suppkey + 1000000 AS v FROM lineitem), m AS (SELECT u, avg(s_acctbal) AS m FROM e JOIN supplier ON s_suppkey + 1000000 = v GROUP BY u HAVING count(*) >= 3) SELECT p_partkey AS entity, round(p_retailprice - m + 0.00000123, 4) AS residual FROM part JOIN m ON u = p_partkey")
 def neighbourhood_residual(spark, sf):
-    e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v")).distinct()
-    vals = table(spark, sf, "part").select(F.col("p_partkey").alias("entity"), F.col("p_retailprice").alias("value")).unionByName(table(spark, sf, "supplier").select((F.col("s_suppkey") + 1000000).alias("entity"), F.col("s_acctbal").alias("value")))
-    return au.neighbourhood_residual(e, vals).where("entity < 1000000").select("entity", F.round(F.col("residual") + 0.00000123, 4).alias("residual"))
+    """Parts' prices less their suppliers' mean balance; parts and suppliers are kept apart whatever their keys are."""
+    e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v")).distinct()
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("entity"), F.col("p_retailprice").alias("value"))
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_acctbal").alias("value"))
+    return au.neighbourhood_residual(e, parts, near_values=suppliers).select("entity", F.round(F.col("residual") + 0.00000123, 4).alias("residual"))
 
 
 @query("discounted_score", "A55", "SELECT l_orderkey, round(sum(l_quantity / power(2, i)), 6) AS score FROM (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) - 1 AS i FROM lineitem) GROUP BY l_orderkey")
