@@ -183,7 +183,8 @@ def bfs_distance(spark, sf):
 
 @query("common_neighbours", "G10 J13", f"WITH {EDGE_SQL} SELECT x.b AS a, y.b AS b, count(*) AS n FROM e x JOIN e y ON x.a = y.a AND x.b < y.b GROUP BY 1, 2")
 def common_neighbours(spark, sf):
-    return g.common_neighbours(_bipartite(spark, sf)).where("a >= 1000000")
+    """Suppliers by the parts that both sell; parts and suppliers are kept apart whatever their keys are."""
+    return g.neighbours_in_common(_bipartite(spark, sf).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 @query("merge_authored", "J06 Z27 X01", """WITH rec AS (SELECT DISTINCT l_partkey AS a, 5000000 + l_suppkey AS b, 'crew' AS signal, 0.5 AS strength FROM lineitem WHERE l_quantity >= 40),
