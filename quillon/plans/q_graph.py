@@ -34,7 +34,7 @@ def expected_overlap(spark, sf):
 
 @query("shared_values", "J01 J02", f"WITH {SHARED_SQL} SELECT field, value, count(*) AS pairs FROM sh GROUP BY field, value")
 def shared_values(spark, sf):
-    return g.shared_values(_attrs(spark, sf)).groupBy("field", "value").agg(F.count("*").alias("pairs"))
+    return g.shared_counts(_attrs(spark, sf))
 
 
 @query("shared_lists", "J02 K01", f"WITH {SHARED_SQL} SELECT a, b, array_to_string(list(value ORDER BY round(idf, 12) DESC, value), ',') AS vals FROM sh WHERE field = 'keyword' GROUP BY a, b HAVING count(*) > 1")
