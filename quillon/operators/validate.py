@@ -141,9 +141,15 @@ def claim_candidates(claims: DataFrame, kind: str, wanted: str = "Q_FILM") -> Da
 
 
 def nearest_year(wanted: DataFrame, candidates: DataFrame, tolerance: int = 1) -> DataFrame:
-    """(key, entity): same title, the year exactly, else within the tolerance; ties by tier, then the lower number; nothing else."""
-    x = wanted.join(candidates, "title").withColumn("gap", F.abs(F.col("year") - F.col("candidate_year"))).where(F.col("gap") <= tolerance)
-    return x.groupBy("key").agg(F.min_by("entity", F.struct(F.col("gap") != 0, "tier", "entity")).alias("entity"))
+    """(key, entity): same title, the year exactly, else within the tolerance; ties by tier, then the lower number; nothing else.
+
+    Years are whole numbers.  Each title and year has one best candidate, which is found
+    before the wanted rows join it, so that no row meets all candidates of its title.
+    """
+    rank = lambda off: F.struct(off.alias("off"), "tier", "entity")
+    best = candidates.groupBy("title", "candidate_year").agg(F.min(F.struct("tier", "entity")).alias("c")).select("title", "candidate_year", "c.*")
+    near = best.withColumn("step", F.explode(F.sequence(F.lit(-tolerance), F.lit(tolerance)))).groupBy("title", (F.col("candidate_year") + F.col("step")).alias("year")).agg(F.min(rank(F.col("step") != 0)).alias("c"))
+    return wanted.join(near, ["title", "year"]).groupBy("key").agg(F.min("c").alias("c")).select("key", F.col("c.entity").alias("entity"))
 
 
 def verified_match(a_title: Column, b_title: Column, a_year: Column, b_year: Column) -> Column:
