@@ -78,8 +78,7 @@ SURPRISE_SQL = "CASE WHEN {l} <= 0 THEN 12.0 ELSE least(12.0, -log10(greatest(1e
 def keyword_pairs(spark, sf):
     """Pairs that share three words at least, by the Poisson surprise of it."""
     attrs = _attrs(spark, sf).where("field = 'keyword'")
-    p = g.keyword_proposals(g.shared_lists(g.shared_values(attrs)), g.expected_overlap(attrs, an.entity(spark, sf).count()))
-    return p.groupBy("strength").agg(F.count("*").alias("n"))
+    return g.keyword_counts(attrs, an.entity(spark, sf).count())
 
 
 @query("subject_pairs", "A02 J02", f"WITH {SHARED_SQL}, s AS (SELECT a, b, list_sort(list(idf), 'DESC') AS i FROM sh WHERE field = 'keyword' AND idf >= 0.28 GROUP BY a, b) SELECT strength, count(*) AS n FROM (SELECT round(least(0.72, 0.30 + 0.5 * (i[1] + 0.25 * coalesce(i[2], 0))), 3) AS strength FROM s) GROUP BY strength")
