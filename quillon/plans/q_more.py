@@ -164,13 +164,8 @@ def fingerprint_similarity(spark, sf):
     """.55 axis similarity + .45 idf-weighted overlap, x 1.15 across clusters, from .72; values of over 15 % of works don't count."""
     n = an.entity(spark, sf).count()
     attrs = g.with_idf(an.entity_attr(spark, sf).where("field = 'keyword'"), n).where(F.col("n") <= 0.15 * n)
-    own = attrs.groupBy("entity").agg(F.sum("idf").alias("w"))
-    both = g.shared_values(attrs).groupBy("a", "b").agg(F.sum("idf").alias("c"))
-    side = lambda e: own.select(F.col("entity").alias(e), F.col("w").alias(f"w{e}")).join(table(spark, sf, "part").select(F.col("p_partkey").alias(e), F.col("p_size").alias(f"s{e}"), F.col("p_type").alias(f"t{e}")), e)
-    x = both.join(side("a"), "a").join(side("b"), "b")
-    sim = 0.55 * (1 - F.abs(F.col("sa") - F.col("sb")) / 50.0) + 0.45 * F.col("c") / (F.col("wa") + F.col("wb") - F.col("c"))
-    sim = F.least(F.lit(1.0), sim * F.when(F.col("ta") != F.col("tb"), 1.15).otherwise(1.0))
-    return x.withColumn("sim", F.round(sim, 6)).where("sim >= 0.72").groupBy("a").agg(F.count("*").alias("n"), F.max("sim").alias("best"))
+    axes = table(spark, sf, "part").select(F.col("p_partkey").alias("entity"), F.col("p_size").alias("s"), F.col("p_type").alias("t"))
+    return g.fingerprint_alike(attrs, axes)
 
 
 @query("composed_score", "Q23", f"WITH {SIM_SQL} SELECT query // 200 AS pair, chunk, round(power(product(greatest(sim, 0)), 1.0 / count(*)), 6) AS score FROM sim GROUP BY ALL")
