@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def permanent_id(qid: Column, prefix: str = "film-", namespace: str = "wikidata:") -> Column:
@@ -27,15 +28,38 @@ def bucket_of(value: Column, rules: list[tuple[str, list]], default: str) -> Col
     return out
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*(_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields, strict=True)))
+    return F.lit(value).cast(kind)
+
+
+def range_bounds(entities: DataFrame, id_col: str) -> list[Column]:
+    """Literals that part a table's ids into about equal ranges, as many as shuffle partitions (256 at most): quantiles of the ids of least hash."""
+    n = min(256, int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    some = entities.select(F.col(id_col).alias("id")).where("id IS NOT NULL").orderBy(F.xxhash64("id")).limit(40 * n)
+    ids = [r[0] for r in some.distinct().orderBy("id").collect()]
+    return [_literal(ids[k], some.schema[0].dataType) for k in sorted({len(ids) * k // n for k in range(1, n)} - {0})]
+
+
+def range_of(value: Column, bounds: list[Column], first: int = 0) -> Column:
+    """How many of the sorted bounds are at most the value; nulls are in the last range."""
+    if not bounds:
+        return F.lit(first)
+    m = len(bounds) // 2
+    return F.when(value < bounds[m], range_of(value, bounds[:m], first)).otherwise(range_of(value, bounds[m + 1 :], first + m + 1))
+
+
 def row_numbers(entities: DataFrame, id_col: str = "id") -> DataFrame:
-    """Entities with ``row``, their place by permanent id.  One order of all ids: dealt by range first, so that only counts meet in one place.
+    """Entities with ``row``, their place by permanent id, nulls last.  One order of all ids: dealt by range, so that only counts meet in one place.
 
-    The ranges are kept, as rows and counts both read them: dealt twice, they would differ in their bounds and in how they are merged.
+    The bounds of the ranges are fixed values of the plan, so that rows and counts agree whenever, wherever and
+    however often they are read; where the bounds lie changes no place.
     """
-    spread = entities.repartitionByRange(F.col(id_col)).withColumn("_p", F.spark_partition_id()).cache()
-    within = spread.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(id_col)))
-    ends = within.groupBy("_p").agg(F.max(id_col).alias("_hi"), F.count("*").alias("_c"))
-    start = ends.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_hi").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_s")
+    spread = entities.withColumn("_p", range_of(F.col(id_col), range_bounds(entities, id_col)))
+    within = spread.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(F.asc_nulls_last(id_col))))
+    counts = spread.groupBy("_p").agg(F.count("*").alias("_c"))
+    start = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
     return within.join(F.broadcast(start), "_p").withColumn("row", (F.col("_s") + F.col("_i") - 1).cast("int")).drop("_p", "_i", "_s")
 
 
