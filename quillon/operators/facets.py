@@ -73,10 +73,11 @@ def posting_counts(facets: DataFrame) -> DataFrame:
 
 
 def coverage(entities: DataFrame, facets: DataFrame, unknown: str = "unknown") -> DataFrame:
-    """(facet, known, unknown, total): an entity is known on a facet if any of its values isn't the unknown mark."""
+    """(facet, known, unknown, total): an entity is known on a facet if any of its values isn't the unknown mark; with null values alone it is neither."""
     total = entities.agg(F.count_distinct("row").alias("total"))
-    known = facets.groupBy("facet").agg(F.count_distinct(F.when(~F.col("value").endswith(unknown), F.col("row"))).alias("known"))
-    return known.join(F.broadcast(total)).select("facet", "known", (F.col("total") - F.col("known")).alias("unknown"), "total")
+    each = facets.groupBy("facet", "row").agg(F.max(~F.col("value").endswith(unknown)).alias("known"))
+    n = each.groupBy("facet").agg(F.count_if("known").alias("known"), F.count_if(F.col("known").isNull()).alias("null"))
+    return n.join(F.broadcast(total)).select("facet", "known", (F.col("total") - F.col("known") - F.col("null")).alias("unknown"), "total")
 
 
 def provenance(routes: DataFrame) -> DataFrame:
