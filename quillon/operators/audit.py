@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions import stats as st
 from quillon.operators.facets import row_numbers
@@ -152,14 +156,127 @@ def rebuttals(tags: DataFrame, opposed: list[tuple[str, str]]) -> DataFrame:
     return predicate_pairs(tags).where(cond).select("predicate", "a", "b")
 
 
-def joinability(phrases: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(lexical, clustered): distinct entity pairs that share a phrase, and that share a phrase's cluster."""
-    def pairs(df, c):
-        x = df.select("entity", F.col(c).alias("k")).distinct()
-        return x.select(F.col("entity").alias("a"), "k").join(x.select(F.col("entity").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct().agg(F.count("*").alias("n"))
+TILE_ROWS = 6_000_000  # rows (entity, phrase) that one tile's task holds
+TILE_PAIRS = 4_000_000  # pairs that it makes at a time
 
-    j = phrases.join(clusters, "phrase")
-    return pairs(phrases, "phrase").withColumnRenamed("n", "lexical").join(pairs(j, "cluster").withColumnRenamed("n", "clustered"))
+
+def _blob(*arrays: np.ndarray) -> bytes:
+    return zlib.compress(b"".join(len(x).to_bytes(8, "little") + x.tobytes() for x in arrays), 1)
+
+
+def _unblob(data: bytes, *kinds: str) -> list[np.ndarray]:
+    raw, at, out = zlib.decompress(data), 0, []
+    for kind in kinds:
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(np.frombuffer(raw, kind, n, at + 8))
+        at += 8 + n * np.dtype(kind).itemsize
+    return out
+
+
+def pack_tiles(e: np.ndarray, key: np.ndarray, cluster_of_key: np.ndarray, part: int, blocks: int):
+    """Rows for :func:`count_tile`: each block's entities with the keys that they hold go to every tile of that block."""
+    names, code = np.unique(e, return_inverse=True)
+    held = np.unique(code.astype(np.int64) * len(cluster_of_key) + key)
+    code, key = held // max(1, len(cluster_of_key)), held % max(1, len(cluster_of_key))
+    mixed = (names.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (names.astype(np.uint64) >> np.uint64(29))
+    block = ((mixed >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
+    counts = np.bincount(code, minlength=len(names))
+    for i in np.unique(block):
+        mine = block == i
+        data = _blob(np.diff(names[mine], prepend=0), counts[mine].astype(np.int32), key[mine[code]].astype(np.int32), cluster_of_key.astype(np.int32))
+        for j in range(blocks):
+            yield min(i, j) * blocks + max(i, j), i, part, data
+
+
+def _pairs_of(code, key, other_code, other_key, n_other, same: bool) -> int:
+    """Distinct (entity, other) that share a key, from rows (entity, key) of both; later others only, if both sides are the same."""
+    by = np.argsort(other_key, kind="stable")
+    other, ok = other_code[by], other_key[by]
+    order = np.argsort(code, kind="stable")
+    code, key = code[order], key[order]
+    lo, hi = np.searchsorted(ok, key, "left"), np.searchsorted(ok, key, "right")
+    met = hi > lo
+    code, lo, size = code[met], lo[met], (hi - lo)[met]
+    ends, total = np.append(np.flatnonzero(np.diff(code)) + 1, len(code)), 0
+    made = np.append(0, np.cumsum(size))
+    first = 0
+    while first < len(code):
+        # as many whole entities as make up to TILE_PAIRS, one at least
+        k = np.searchsorted(ends, np.searchsorted(made, made[first] + TILE_PAIRS, "right") - 1, "right") - 1
+        last = ends[max(k, np.searchsorted(ends, first, "right"))]
+        if made[last] - made[first] > TILE_PAIRS:
+            seen = np.zeros(n_other, bool)
+            for a, n in zip(lo[first:last], size[first:last], strict=True):
+                seen[other[a : a + n]] = True
+            total += int(seen[code[first] + 1 :].sum() if same else seen.sum())
+        else:
+            n = size[first:last]
+            at = np.arange(made[last] - made[first]) + np.repeat(lo[first:last] - (made[first:last] - made[first]), n)
+            a, b = np.repeat(code[first:last].astype(np.int64), n), other[at]
+            pair = a * n_other + b
+            pair = np.sort(pair[b > a] if same else pair)
+            total += int((np.diff(pair) != 0).sum()) + (len(pair) > 0)
+        first = last
+    return total
+
+
+def count_tile(rows: pd.DataFrame, blocks: int) -> pd.DataFrame:
+    """(lexical, clustered) of one tile: pairs of an entity of one block and one of another, or of two of the same."""
+    tile = int(rows["tile"].iloc[0])
+    same, at, clusters_at, sides = tile // blocks == tile % blocks, {}, {}, {}
+    keys = clusters = 0
+    for i, part, data in zip(rows["block"], rows["part"], rows["data"], strict=True):
+        step, counts, key, cluster_of_key = _unblob(data, "<i8", "<i4", "<i4", "<i4")
+        if part not in at:
+            at[part], clusters_at[part] = keys, clusters
+            keys, clusters = keys + len(cluster_of_key), clusters + int(cluster_of_key.max(initial=-1)) + 1
+        c = cluster_of_key[key]
+        sides.setdefault(i, []).append((np.cumsum(step), counts, key + np.int32(at[part]), np.where(c < 0, -1, c + clusters_at[part]).astype(np.int32)))
+    held = []
+    for i in sorted(sides):
+        names = np.unique(np.concatenate([x[0] for x in sides[i]]))
+        code = np.concatenate([np.repeat(np.searchsorted(names, x[0]).astype(np.int32), x[1]) for x in sides[i]])
+        held.append((len(names), code, np.concatenate([x[2] for x in sides[i]]), np.concatenate([x[3] for x in sides.pop(i)])))
+    if not same and len(held) < 2:
+        return pd.DataFrame({"lexical": [0], "clustered": [0]})
+    (_, a, ka, ca), (n, b, kb, cb) = held[0], held[-1]
+    lexical = _pairs_of(a, ka, b, kb, n, same)
+    clustered = _pairs_of(a[ca >= 0], ca[ca >= 0], b[cb >= 0], cb[cb >= 0], n, same)
+    return pd.DataFrame({"lexical": [lexical], "clustered": [clustered]})
+
+
+def joinability(phrases: DataFrame, clusters: DataFrame, rows: int | None = None) -> DataFrame:
+    """(lexical, clustered): distinct entity pairs that share a phrase, and that share a phrase's cluster.
+
+    No pair is moved.  Entities are dealt into blocks, and each two blocks are a tile, whose task counts its
+    own pairs from the rows of its blocks; a pair is in one tile only.  What moves is each row (packed to a few
+    bytes) once for each block; ``rows``, a bound of the rows of ``phrases``, sets how many blocks there are.
+    """
+    from quillon.operators import audit
+
+    rows = phrases.count() if rows is None else rows
+    blocks, parts = max(1, -(-2 * rows // TILE_ROWS)), int(phrases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = phrases.select("entity", "phrase").where("entity IS NOT NULL AND phrase IS NOT NULL")
+    if not isinstance(x.schema["entity"].dataType, T.IntegralType):
+        x = x.join(row_numbers(x.select("entity").distinct(), "entity"), "entity").select(F.col("row").alias("entity"), "phrase")
+    x = x.join(clusters.select("phrase", "cluster").where("cluster IS NOT NULL").distinct(), "phrase", "left").select(F.col("entity").cast("bigint").alias("entity"), "phrase", "cluster")
+    together = F.when(F.col("cluster").isNull(), F.xxhash64("phrase")).otherwise(F.xxhash64("cluster"))
+
+    def pack(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        batches = list(batches)
+        if sum(b.num_rows for b in batches):
+            t = pa.Table.from_batches(batches)
+            code = lambda c: t[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            both, key = np.unique(code("phrase") * (t.num_rows + 1) + code("cluster") + 1, return_inverse=True)
+            for row in audit.pack_tiles(t["entity"].to_numpy(), key, both % (t.num_rows + 1) - 1, TaskContext.get().partitionId(), blocks):
+                yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in row[:3]] + [pa.array([row[3]], pa.binary())], ["tile", "block", "part", "data"])
+
+    packed = x.repartition(parts, together).mapInArrow(pack, "tile bigint, block bigint, part bigint, data binary")
+    n = packed.groupBy("tile").applyInPandas(lambda df: audit.count_tile(df, blocks), "lexical bigint, clustered bigint")
+    return n.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in n.columns))
 
 
 def set_agreement(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

@@ -177,8 +177,10 @@ def predicate_reach(spark, sf):
 
 @query("joinability", "A33", f"WITH {SPARSE_SQL} SELECT (SELECT count(*) FROM (SELECT DISTINCT x.entity, y.entity AS e FROM t x JOIN t y ON x.predicate = y.predicate AND x.entity < y.entity)) AS lexical, (SELECT count(*) FROM (SELECT DISTINCT x.entity, y.entity AS e FROM t x JOIN t y ON x.predicate // 2 = y.predicate // 2 AND x.entity < y.entity)) AS clustered")
 def joinability(spark, sf):
-    t = _sparse(spark, sf).select("entity", F.col("predicate").alias("phrase"))
-    return au.joinability(t, t.select("phrase", F.expr("phrase div 2").alias("cluster")).distinct())
+    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    t = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_partkey").alias("entity"), F.col("o_custkey").alias("phrase"))
+    clusters = orders.select(F.col("o_custkey").alias("phrase")).distinct().withColumn("cluster", F.expr("phrase div 2"))
+    return au.joinability(t, clusters, lines.count())
 
 
 @query("held_out_agreement", "A34 A23 S05", "WITH a AS (SELECT l_orderkey AS k, list(DISTINCT l_returnflag) AS x FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), b AS (SELECT l_orderkey AS k, list(DISTINCT l_returnflag) AS y FROM lineitem WHERE l_linenumber > 3 GROUP BY 1), j AS (SELECT len(list_intersect(x, y)) * 1.0 / (len(x) + len(y) - len(list_intersect(x, y))) AS j FROM a JOIN b USING (k)) SELECT count(*) AS n, round(avg(j), 6) AS mean_jaccard, round(avg(CASE WHEN j = 1 THEN 1.0 ELSE 0 END), 6) AS exact FROM j")
