@@ -77,7 +77,8 @@ def learn_domains(labelled: DataFrame, *, buckets: int = BUCKETS, max_train: int
 
 
 def _likelihood(slots: Column, log_word: np.ndarray) -> Column:
-    weights = F.lit([round(float(x), 6) for x in log_word])
+    # one literal: as an array of literals, each weight would be an object of the driver's in every plan
+    weights = F.split(F.lit(" ".join(repr(round(float(x), 6)) for x in log_word)), " ").cast("array<double>")
     return F.aggregate(slots, F.lit(0.0), lambda acc, b: acc + F.element_at(weights, b + 1))
 
 
@@ -113,9 +114,10 @@ def fit_rates(members: DataFrame, targets: np.ndarray, *, rounds: int = 60, tole
 
     def state(steps):
         """Totals, and H over all documents and over those whose rate isn't 0, as shares of all words."""
-        r = rate(F.col("p"), steps)
+        # a column, so that the vectors are once in a round's plan and not once in each sum
+        r = F.col("r")
         live = F.when(r > 0, F.col("n")).otherwise(0)
-        x = members.agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * r * at(i)).alias(f"t{i}") for i in range(k)), *(F.sum(w * at(i) * at(j)).alias(f"{name}{i}_{j}") for name, w in (("h", F.col("n")), ("a", live)) for i, j in upper)).first()
+        x = members.select("n", "p", rate(F.col("p"), steps).alias("r")).agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * r * at(i)).alias(f"t{i}") for i in range(k)), *(F.sum(w * at(i) * at(j)).alias(f"{name}{i}_{j}") for name, w in (("h", F.col("n")), ("a", live)) for i, j in upper)).first()
         total = float(x["n"] or 0)
         matrix = lambda name: np.array([[x[f"{name}{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float) / total
         return (total, np.array([x[f"t{i}"] for i in range(k)], float) / total, matrix("h"), matrix("a")) if total else (0.0, np.zeros(k), np.eye(k), np.eye(k))

@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from quillon.llm import mixing
 from quillon.llm.mixing import fit_rates, mix
 
 SCHEMA = "doc_id bigint, text string, lang string, rate int"
@@ -56,3 +58,25 @@ def test_edges(spark):
     assert mix(d.limit(0), labelled, {"en": 1}).collect() == []
     with pytest.raises(ValueError, match="xx"):
         mix(d, labelled, {"xx": 1})
+
+
+def test_plans_hold_vectors_and_weights_once(spark):
+    """A round's vectors are once in its plan, and a domain's weights are one literal, so that plans stay small on the driver."""
+    slots = F.array(F.lit(1))
+    weights = mixing._likelihood(slots, np.full(1024, -0.25))
+    assert spark.range(1).select(weights.alias("x")).first()["x"] == -0.25
+    assert spark.range(1).select(weights.alias("x"))._jdf.queryExecution().analyzed().toString().count(", -0.25") == 0
+    seen = []
+
+    class Members:
+        def __getattr__(self, name):
+            return getattr(held, name)
+
+        def select(self, *columns):
+            out = held.select(*columns)
+            seen.append(out._jdf.queryExecution().analyzed().toString().count("aggregate("))
+            return out
+
+    held = spark.createDataFrame([(10, [0.9, 0.1]), (5, [0.2, 0.8])], "n long, p array<double>")
+    _, totals = mixing.fit_rates(Members(), np.array([0.5, 0.5]))
+    assert np.allclose(totals, 7.5, atol=1e-3) and seen[0] == 0 and {*seen[1:]} == {2}
