@@ -138,10 +138,22 @@ def selected_edges(spark, sf):
     return _edges(spark, sf)
 
 
+def _alternates(spark, sf, chosen):
+    """What :func:`_proposals` has of the chosen pairs under other signals than theirs."""
+    attrs, total = _attrs(spark, sf), an.entity(spark, sf).count()
+    words = attrs.where("field = 'keyword'")
+    of = lambda signal: chosen.where(F.col("signal") != signal).select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
+    same = g.linear_proposals(g.shared_of(of("genre"), attrs.where("field = 'country'")), "country", "genre")
+    setting = g.linear_proposals(g.shared_of(of("setting"), words), "keyword", "setting")
+    keyword = g.keyword_proposals(g.shared_of(of("keyword"), words), g.expected_overlap(words, total))
+    return same.unionByName(setting).unionByName(keyword).unionByName(g.crew_of(of("crew"), an.crew(spark, sf), FLAGS))
+
+
 @query("also_signals", "G03")
 def also_signals(spark, sf):
-    p = _proposals(spark, sf)
-    return g.runners_up(p, g.select_edges(p, an.entity(spark, sf))).select("pair", F.size("also").alias("n"))
+    shared_checkpoints(spark)
+    chosen = _edges(spark, sf).checkpoint()
+    return g.runners_up(_alternates(spark, sf, chosen), chosen).select("pair", F.size("also").alias("n"))
 
 
 EDGE_SQL = "e AS (SELECT DISTINCT l_partkey AS a, 1000000 + l_suppkey AS b FROM lineitem)"
